@@ -16,6 +16,8 @@ executor.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,6 @@ from hashlib import sha256
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,12 +34,13 @@ from .common import text_or_empty
 
 #: Stands for the end mark in token strings: no byte is written as a space.
 END = " "
-#: Words up to this length are kept with their ids; the store is emptied when it is full.
-KEPT_CHARS, KEPT_WORDS, KEPT_PAIRS = 48, 300_000, 2_000_000
+#: Words up to this length are kept with their ids, in a young and an old store of bounded size.
+KEPT_CHARS, KEPT_WORDS, KEPT_PAIRS = 48, 300_000, 1_000_000
+NEVER = 1 << 60
 #: Below this, characters have one spelling, fixed classes and a fixed lower case in every Unicode version.
 STABLE = "ɐ"
-# The white space of the word pattern in that range.
-STABLE_SPACE = r"\t-\r\x20\x85\xa0"
+# The classes of the word pattern in that range, as the inside of a character class.
+STABLE_CLASSES = {r"[\p{L}]": r"[a-zª\xb5ºß-öø-ɏ]", r"[\p{N}]": "[0-9²³¹¼-¾]", r"\s\p{L}\p{N}": r"\t-\r\x20\x85\xa0a-zª\xb5ºß-öø-ɏ0-9²³¹¼-¾"}
 
 
 def byte_characters() -> dict[int, str]:
@@ -51,7 +53,10 @@ def byte_characters() -> dict[int, str]:
 class BacktrackingBpe:
     """The encoder of one vocabulary file of the tokenizers library (word-splitting BPE)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_library: bool = False):
+        """by_library: words that aren't kept go to the library's model, for callers that only need the ids."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores already
+        self.by_library = by_library
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], spec["added_tokens"]
@@ -61,113 +66,151 @@ class BacktrackingBpe:
         self.ids = {own(t): i for t, i in model["vocab"].items()}
         self.names = {i: t for t, i in self.ids.items()}
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        self.ranks = {(own(a), own(b)): r for r, (a, b) in enumerate(pairs)}
+        merges = [(self.ids[own(a)], self.ids[own(b)], self.ids[own(a) + own(b)]) for a, b in pairs]
+        self.ranks = {(a, b): r for r, (a, b, _) in enumerate(merges)}
+        self.parts = {t: (a, b) for a, b, t in merges}
+        if len(self.parts) < len(merges) or any(self.ranks.get(self.parts.get(x), -1) >= r for r, ab in enumerate(self.ranks) for x in ab):
+            raise ValueError("each merge must make a new token of earlier ones")
+        self.last = {i for t, i in self.ids.items() if self.end and t.endswith(END)}
+        self.sizes = {i: len(t) for i, t in self.names.items()}
         self.trie = ahocorasick.Automaton()
         for token, i in self.ids.items():
-            self.trie.add_word(token, (i, len(token)))
+            self.trie.add_word(token, i)
         self.trie.make_automaton()
         self.letters = byte_characters()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {x["content"]: x["id"] for x in added}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if added else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if added else None
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split.replace(r"\s", STABLE_SPACE))
+        for unicode_class, in_range in STABLE_CLASSES.items():
+            split = split.replace(unicode_class, in_range)
+        self.words = re.compile(split).findall
         self.pair_table: dict[tuple[int, int], bool] = {}
+        self.shorter: dict[int, int] = {}
         self.whole: dict[int, bool] = {}
-        self.plain: dict[str, bytes] = {}
-        self.mapped: dict[str, bytes] = {}
+        self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
+        #: Young and old store of words with their ids, for plain words and for words in byte characters.
+        self.kept: tuple[list[dict[str, bytes]], ...] = ([{}, {}], [{}, {}])
         # The offset table: the text of id i is blob[at[i] : at[i + 1]].
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         parts = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.at = np.cumsum([0, *map(len, parts)])
 
-    def _symbols(self, token: str) -> list[str]:
-        return [*token[:-2], token[-2:]] if self.end and token.endswith(END) else list(token)
-
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """Merges by rank: for the few symbols of a pair of tokens."""
-        while len(symbols) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 60:
-                break
-            symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
-        return symbols
+    def _crossed(self, left: int, right: int) -> bool:
+        """Whether a merge joins symbols of both tokens before both are complete.
+
+        Merges run in order of rank, so the symbols at the border are followed up the right edge of
+        ``left`` and the left edge of ``right``; of equal merges the leftmost goes first.
+        """
+        a, b = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        while i + 1 < len(a) or j + 1 < len(b):
+            next_a = a[i + 1][1] if i + 1 < len(a) else NEVER
+            next_b = b[j + 1][1] if j + 1 < len(b) else NEVER
+            rank = self.ranks.get((a[i][0], b[j][0]), NEVER)
+            if rank < next_a and rank <= next_b:
+                return True
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+        return False
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The symbols that stand at one edge of a token while it is merged, and the rank that makes each."""
+        if (known := self.edges[side].get(token)) is None:
+            parts = self.parts.get(token)
+            known = [*(self._edge(parts[side], side) if parts else []), (token, self.ranks[parts] if parts else -1)]
+            self.edges[side][token] = known
+        return known
 
     def _is_whole(self, token: int) -> bool:
         """Whether merging a token's own symbols gives that token; others never occur."""
         if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self._merged(self._symbols(self.names[token]))) == 1
+            parts = self.parts.get(token)
+            known = self.whole[token] = not parts or self._is_whole(parts[0]) and self._is_whole(parts[1]) and not self._crossed(*parts)
         return known
 
-    def compatible(self, left: int, right: int) -> bool:
-        if (known := self.pair_table.get((left, right))) is None:
-            if len(self.pair_table) >= KEPT_PAIRS:
-                self.pair_table.clear()
-            a, b = self.names[left], self.names[right]
-            known = not a.endswith(END) and self._merged(self._symbols(a) + self._symbols(b)) == [a, b]
-            self.pair_table[left, right] = known
+    def _next_shorter(self, token: int) -> int:
+        """The longest token that is a proper prefix of this one, or -1."""
+        if (known := self.shorter.get(token)) is None:
+            name = self.names[token]
+            known = self.shorter[token] = next((self.ids[p] for i in range(len(name) - 1, 0, -1) if (p := name[:i]) in self.ids), -1)
+        return known
+
+    def _check_pair(self, left: int, right: int) -> bool:
+        """Fills the pair table; left is -1 at the start of a word."""
+        if len(self.pair_table) >= KEPT_PAIRS:
+            self.pair_table.clear()
+        known = self._is_whole(right) and (left < 0 or left not in self.last and (left, right) not in self.ranks and not self._crossed(left, right))
+        self.pair_table[left, right] = known
         return known
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of a word that is written in byte characters."""
         word += self.end
-        n = len(word)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, size) in self.trie.iter(word):
-            if self._is_whole(token):
-                starts[end + 1 - size].append((token, end + 1))  # shorter ones come first
-        out, left, at, dead = [], [], 0, bytearray(n + 1)
-        choices = list(starts[0])
+        n, sizes, pairs = len(word), self.sizes, self.pair_table
+        longest = [-1] * (n + 1)
+        for end, token in self.trie.iter(word):
+            longest[end + 1 - sizes[token]] = token  # later matches from the same start are longer
+        out: list[int] = []
+        last, at, token, dead = -1, 0, longest[0], bytearray(n + 1)
         while at < n:
-            while choices:
-                token, end = choices.pop()
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    left.append((at, choices))
-                    at, choices = end, list(starts[end]) if end < n else []
-                    break
-            else:
-                if not out:
-                    raise ValueError("the vocabulary can't spell this word")
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    fits = pairs.get((last, token))
+                    if self._check_pair(last, token) if fits is None else fits:
+                        break
+                token = self._next_shorter(token)
+            if token >= 0:
+                out.append(token)
+                last, at = token, at + sizes[token]
+                token = longest[at]
+            elif out:
                 dead[at] = 1
-                out.pop()
-                at, choices = left.pop()
+                token = out.pop()
+                last, at = out[-1] if out else -1, at - sizes[token]
+                token = self._next_shorter(token)
+            else:
+                raise ValueError("the vocabulary can't spell this word")
         return out
 
-    def _bytes_of(self, known: dict[str, bytes], key: str, word: str) -> bytes:
-        ids = self.encode_word(word)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(key) <= KEPT_CHARS:
-            if len(known) >= KEPT_WORDS:
-                known.clear()
-            known[key] = packed
-        return packed
-
-    def _piece(self, text: str, out: list[bytes]) -> None:
-        if max(text, default="") < STABLE:
-            known, letters = self.plain, self.letters
-            for word in self.words.findall(text.lower()):
-                found = known.get(word)
-                out.append(self._bytes_of(known, word, "".join([letters[b] for b in word.encode()])) if found is None else found)
-        else:  # the library's own normalizer and word split, whatever its Unicode version
-            known = self.mapped
-            for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
-                found = known.get(word)
-                out.append(self._bytes_of(known, word, word) if found is None else found)
+    def _ids_of(self, words: list[str], mapped: bool) -> list[bytes]:
+        """The packed ids of words that aren't kept."""
+        if self.by_library and not mapped:
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        else:
+            letters = self.letters
+            encoded = [self.encode_word(w if mapped else "".join([letters[b] for b in w.encode()])) for w in words]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in encoded]
+
+    def _piece(self, text: str) -> list[bytes]:
+        mapped = not text.isascii() and max(text) >= STABLE
+        if mapped:  # the library's own normalizer and word split, whatever its Unicode version
+            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        else:
+            words = self.words(text.lower())
+        kept = self.kept[mapped]
+        out = list(map(kept[0].get, words))
+        if None in out:
+            new = dict.fromkeys(w for w, packed in zip(words, out) if packed is None)
+            for word in new:
+                new[word] = kept[1].get(word)
+            lacking = [w for w, packed in new.items() if packed is None]
+            new.update(zip(lacking, self._ids_of(lacking, mapped)))
+            out = [new[w] if packed is None else packed for w, packed in zip(words, out)]
+            if len(kept[0]) >= KEPT_WORDS:
+                kept[:] = {}, kept[0]
+            kept[0].update((w, packed) for w, packed in new.items() if len(w) <= KEPT_CHARS)
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
         if self.cut is None or not any(x in text for x in self.special):
-            self._piece(text, out)
-        else:
-            for part in self.cut.split(text):
-                if part in self.special:
-                    out.append(struct.pack("<I", self.special[part]))
-                elif part:
-                    self._piece(part, out)
-        return b"".join(out)
+            return b"".join(self._piece(text))
+        parts = self.cut.split(text)
+        return b"".join(struct.pack("<I", self.special[x]) if x in self.special else b"".join(self._piece(x)) for x in parts)
 
     def decode(self, packed: bytes) -> bytes:
         """The tokens' texts joined by spaces, in UTF-8, as the library does where the file names no decoder."""
@@ -185,9 +228,9 @@ class BacktrackingBpe:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> BacktrackingBpe:
+def encoder(path: str, by_library: bool = False) -> BacktrackingBpe:
     """One encoder for each Python worker and file."""
-    return BacktrackingBpe(path)
+    return BacktrackingBpe(path, by_library)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
