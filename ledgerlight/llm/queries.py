@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, quality_rules, sharding, simhash, token_counts, topk, warc
+from . import bpe, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, topk, warc
 
 VOCABULARY, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_index(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_warc_index_merge, op3_line_dedup, op4_token_counts, op5_sharding, op6_bpe,
+        op1_warc_index_merge, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_sharding, op6_bpe,
         op7_exact_topk, op8_packing, op9_simhash, op10_quality_rules,
     )
 }
