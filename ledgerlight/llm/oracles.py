@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .quality_rules import RULES, STOP_WORDS
+
 _OP1 = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
@@ -28,4 +30,53 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {}
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TESTS = " AND ".join(
+    f"100 * {r.top} {sign} {bound} * {r.bottom}" for r in RULES for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None
+)
+_OP10 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place
+  FROM (SELECT doc_id, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d)
+), g AS (
+  SELECT doc_id, place, word, lead(word) OVER p AS second, lead(word, 2) OVER p AS third FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY place)
+), r AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, count(*) OVER (PARTITION BY doc_id, word, second, third) AS n FROM g WHERE third IS NOT NULL) WHERE n > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT place + step)::BIGINT AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS s(step) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, count(*)::BIGINT AS n_words, sum(length(word))::BIGINT AS word_chars, count_if(lower(word) IN ({_STOP}))::BIGINT AS n_stop_words
+  FROM w GROUP BY doc_id
+), l AS (
+  SELECT doc_id, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim
+  FROM d
+), a AS (
+  SELECT l.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls)::BIGINT AS n_lines, coalesce(n_stop_words, 0) AS n_stop_words, n_exclaim
+  FROM l LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+)
+SELECT *, NOT base_failed AND {_TESTS} AS kept FROM b
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_index_merge": _OP1, "op3_line_dedup": _OP3, "op7_exact_topk": _OP7, "op10_quality_rules": _OP10}

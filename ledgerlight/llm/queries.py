@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_and_index(table(spark, sf_dir, "pages"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_and_index(table(spark, sf_dir, "pages")).select(*columns)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
