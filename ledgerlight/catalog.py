@@ -1,4 +1,6 @@
 """All registered queries with their equivalents in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import evidence  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
