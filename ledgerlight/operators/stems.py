@@ -19,7 +19,7 @@ STEP2 = (
     ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
 )
 STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize", "sion", "tion")
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _shape(word: str) -> str:
@@ -65,7 +65,10 @@ def stem(word: str) -> str:
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
     w = _swap(_swap(w, STEP2, 0), STEP3, 0)
-    w = _swap(w, [(e, e[0] if e in ("sion", "tion") else "") for e in STEP4], 1)
+    if w.endswith(("sion", "tion")):
+        w = w[:-3] if _measure(w[:-3]) > 1 else w
+    else:
+        w = _swap(w, [(e, "") for e in STEP4], 1)
     if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
         w = w[:-1]
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
