@@ -1,6 +1,6 @@
 """All registered queries with their equivalents in SQL."""
 
-from .plans import detection, evidence, structure  # noqa: F401
+from .plans import detection, evidence, lifecycle, structure  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
