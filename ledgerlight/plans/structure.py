@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import tree
 from ..operators.bundle import evidence_bundle
+from ..operators.markdown import with_flat
 from ..operators.stems import stemmed_counts
 from ..sources.tables import revisions, statuses, table, transcripts
 from .evidence import _TOKENS
@@ -212,6 +213,12 @@ def json_records(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("r")).filter("r IS NOT NULL").select("event_id", "r.k")
 
 
+@query("SELECT event_id, 'k: ' || (props::JSON ->> 'k') AS flat FROM events")
+def flat_records(spark, sf_dir):
+    """Records as lines of path and value."""
+    return with_flat(table(spark, sf_dir, "events"), "props", "flat").select("event_id", "flat")
+
+
 _HREFS = "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS target FROM pages"
 _PATH = "'/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
