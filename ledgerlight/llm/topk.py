@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BUCKET_ROWS, QUERY_ROWS = 4096, 1024
-#: Buckets that one task searches.
-GROUP_BUCKETS = 8
+#: Buckets of a part of the table, and those that one task searches.
+PART_BUCKETS, GROUP_BUCKETS = 4, 8
 #: Coordinates checked, and the cosine from which checking them pays.
 FOCUS, HIGH_COSINE = 3, 0.5
 SLACK = 1e-9
@@ -165,7 +165,11 @@ def _block(batch: pa.RecordBatch, i: int, at: int) -> Block:
 
 
 def _search_rows(k: int):
-    """Rows: query block number, its columns and floors, then a bucket's columns, sorted by query block and bucket, longest first."""
+    """Rows: group, query block number, its columns and floors, then a bucket's columns.
+
+    Neighbouring rows of one query block share its best results; where a block comes back later, it only
+    starts anew from its floors, and the results are merged afterwards.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best = None, None
@@ -207,7 +211,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     """query_id, rank, vec_id and score of the k best candidates of each row whose vec_id is divisible by ``every``."""
     rows = stored(integer_vectors(vectors, scale), "vectors")
     total = max(1, rows.count())
-    ranged = rows.repartitionByRange(max(1, -(-total // (4 * BUCKET_ROWS))), F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    ranged = rows.repartitionByRange(max(1, -(-total // (PART_BUCKETS * BUCKET_ROWS))), F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
     buckets = stored(ranged.mapInArrow(_pack(BUCKET_ROWS), PACK), "buckets")
     chosen = rows.filter(F.col("vec_id") % every == 0)
     dealt = chosen.repartition(max(1, -(-total // (every * QUERY_ROWS))), "vec_id")
@@ -216,15 +220,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     queries = stored(numbered, "query-blocks")
 
     columns = [F.col(c) for c in ("n", "dim", "ids", "vectors")]
-    # Bucket numbers follow the lengths; a row a bucket without its vectors.
-    heads = buckets.select("part", "number", "longest")
-    order = heads.withColumn("bucket", F.row_number().over(Window.orderBy("part", "number")) - 1)
-    group = F.floor(F.col("bucket") / GROUP_BUCKETS).cast("int")
-    placed = buckets.join(order.drop("longest"), ["part", "number"]).withColumn("group", group)
+    # Parts follow the lengths, so neighbouring ones make a group; no bucket needs a number of its own.
+    placed = buckets.withColumn("group", F.floor(F.col("part") * PART_BUCKETS / GROUP_BUCKETS).cast("int"))
+    extent = buckets.agg(F.min(F.struct("part", "number")).alias("first"), F.max("part").alias("last")).first()
+    if extent.first is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    longest = buckets.filter((F.col("part") == extent.first.part) & (F.col("number") == extent.first.number))
 
     q = ["q_n", "q_dim", "q_ids", "q_vectors"]
-    first = queries.withColumn("floors", F.lit(None).cast("binary")).withColumn("bucket", F.lit(0))
-    start = first.join(placed.filter("bucket = 0"), "bucket").select(F.lit(0).alias("group"), "block", *q, "floors", *columns)
+    # One bucket of at most BUCKET_ROWS vectors: small enough to be broadcast to the query blocks.
+    first = queries.withColumns({"floors": F.lit(None).cast("binary"), "part": F.lit(extent.first.part)})
+    start = first.join(F.broadcast(longest), "part").select(F.lit(0).alias("group"), "block", *q, "floors", *columns)
     found = start.repartition("block").mapInArrow(_search_rows(k), RESULT)
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     floors = ranked.filter(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
@@ -235,10 +241,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     primed = queries.join(by_block, "block", "left").select("block", *q, "known")
     primed = stored(primed.mapInArrow(_with_floors, QUERY_BLOCK + ", floors binary, least double"), "primed-queries")
 
-    groups = -(-max(1, buckets.count()) // GROUP_BUCKETS)
+    groups = extent.last * PART_BUCKETS // GROUP_BUCKETS + 1
     spread = primed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cells = spread.join(placed.filter("bucket >= 0"), "group").filter(F.col("longest") >= F.col("least"))
-    cells = cells.repartition("group", "block").sortWithinPartitions("group", "block", "bucket")
+    # A query block meets the buckets of a group one after the other; they aren't shuffled or sorted as pairs.
+    cells = spread.join(placed, "group").filter(F.col("longest") >= F.col("least"))
     results = cells.select("group", "block", *q, "floors", *columns).mapInArrow(_search_rows(k), RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return results.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
