@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import fresh_name, stored, text_or_empty
 from .components import components
 
-#: Homes of a cell that one task compares at most; further ones go to further tasks.
-CELL_HOMES = 200_000
+#: Homes that a cell is meant to hold, and those that one task compares at most; further ones go to further tasks.
+CELL_ROWS, CELL_HOMES = 4_000, 200_000
 #: Comparisons held at once.
 CHUNK = 1 << 21
 SHIFTS = np.arange(64, dtype=np.uint64)
@@ -291,7 +291,7 @@ def _compare(threshold: int, threshold_both: int | None):
 
 def near_links(classes: DataFrame, covering: Covering, threshold_both: int | None = None, rows: int | None = None) -> DataFrame:
     """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
-    cells = max(24, min(1 << 14, -(-(classes.count() if rows is None else rows) * covering.blocks // 20_000)))
+    cells = max(24, min(1 << 14, -(-(classes.count() if rows is None else rows) * covering.blocks // CELL_ROWS)))
     nodes = classes.select("node", "f1", "f2")
     # A row for each cell at most (16,384): small by construction, so it may be broadcast.
     loads = nodes.mapInArrow(_loads(covering, cells), "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
