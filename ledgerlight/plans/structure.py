@@ -303,11 +303,12 @@ def status_by_language(spark, sf_dir):
     return s.groupBy("status", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY ALL")
+@query("SELECT c_custkey, c_name, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey ORDER BY ALL")
 def dump_ordered(spark, sf_dir):
-    """A small table joined and ordered by every column, as a dump."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    out = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "n_regionkey", "r_name")
+    """A table joined with its lookups and ordered by every column, as a dump."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    out = joined.select("c_custkey", "c_name", "c_mktsegment", "n_name", "r_name")
     return out.orderBy(*out.columns)
 
 
