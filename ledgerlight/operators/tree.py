@@ -17,12 +17,17 @@ LEVELS = range(1, 7)
 HEADINGS = "array<struct<start:int,end:int,level:int,title:string>>"
 
 
-def plain_headings(text: Column) -> Column:
-    """Headings of a plain text: a line of 80 characters at most over a line of = or -, or one in capitals.
+def text_lines(text: Column) -> Column:
+    """The lines of a text with their ends."""
+    return F.filter(F.split(text, LINE_END), lambda x: x != "")
 
-    An underlined heading takes two lines. The fold carries the offset and whether a line is taken.
+
+def plain_headings(lines: Column) -> Column:
+    """Headings of the lines of a plain text: a line of 80 characters at most over a line of = or -, or one in capitals.
+
+    An underlined heading takes two lines. The fold carries the offset and whether a line is taken. Every line
+    looks at the next one, so ``lines`` has to be a column of its own: an expression would be computed for each line.
     """
-    lines = F.filter(F.split(text, LINE_END), lambda x: x != "")
     rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), T.strip(x).alias("title"), F.coalesce(T.strip(F.get(lines, i + 1)), F.lit("")).alias("next"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("after")))
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("taken"), F.array().cast(HEADINGS).alias("out"))
 
@@ -46,7 +51,8 @@ def plain_headings(text: Column) -> Column:
 
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, number (from 1), start, end, level and title of every heading, with its section's end and its parent's number."""
-    found = docs.select("doc_id", F.length("text").alias("size"), F.posexplode(plain_headings(F.col("text"))).alias("i", "h"))
+    lines = docs.select("doc_id", F.length("text").alias("size"), text_lines(F.col("text")).alias("lines"))
+    found = lines.select("doc_id", "size", F.posexplode(plain_headings(F.col("lines"))).alias("i", "h"))
     found = found.select("doc_id", "size", (F.col("i") + 1).alias("number"), "h.*")
     after = Window.partitionBy("doc_id").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy("doc_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,8 +35,8 @@ def _docs(spark, sf_dir):
 
 @query(f"{_HEADS} SELECT * FROM h")
 def plain_headings(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", T.text_of("text").alias("text"))
-    found = docs.select("doc_id", F.explode(tree.plain_headings(F.col("text"))).alias("h"))
+    lines = _docs(spark, sf_dir).select("doc_id", tree.text_lines(T.text_of("text")).alias("lines"))
+    found = lines.select("doc_id", F.explode(tree.plain_headings(F.col("lines"))).alias("h"))
     return found.select("doc_id", F.col("h.start").alias("char_start"), F.col("h.end").alias("char_end"), "h.level", "h.title")
 
 

@@ -117,3 +117,30 @@ def test_stems():
     pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi",
              "relational": "relat", "conditional": "condit", "formalize": "formal", "hopefulness": "hope", "adjustable": "adjust", "adoption": "adopt", "controll": "control", "sky": "sky", "東京": "東京"}
     assert {w: stems.stem(w) for w in pairs} == pairs
+
+
+def test_needles_spare_no_match():
+    from ledgerlight.operators import redaction as R
+
+    assert set(R.NEEDLES) == {label for label, _, _ in R.SHAPES}
+    shapes = {
+        "AWS access key id": "AKIA" + "A1" * 8, "GitHub token": "ghs_" + "a1" * 20, "Slack token": "xoxb-" + "a1" * 8, "Google API key": "AIza" + "a" * 35,
+        "OpenAI key": "sk-" + "a1" * 12, "JWT": ".".join(["eyJ" + "a1" * 8] * 2 + ["b2" * 8]), "Credentialed URL": "ftp://a:b@host",
+    }
+    for label, value in shapes.items():
+        assert R.redact_text(f"see {value} there").startswith(f"see [REDACTED:{label}]")
+    for text, masked in (
+        ("BEARER abcdefgh99", "BEARER [REDACTED:credential]"), ("bas\u0131c abcdefgh99", "bas\u0131c [REDACTED:credential]"), ("C:\\USERS\\ann x", "C:\\USERS\\<USER> x"),
+        ("DB_PASSWORD = 'a b'", "DB_PASSWORD = '[REDACTED:assignment]'"), ("export\n API_KEY=foo", "export\n API_KEY=[REDACTED:assignment]"), ("at 10.1.2.3", "at <PRIVATE_IP>"),
+    ):
+        assert R.redact_text(text) == masked and R.residual_of(masked) == []
+
+
+def test_headings_look_at_lines_once(spark):
+    """Many short lines stay cheap: the lines are a column, not an expression computed for each line."""
+    import time
+
+    text = "".join(f"Line {i}\n" for i in range(5000)) + "Title\n=====\nend\n"
+    began = time.time()
+    found = tree.headings(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("start", "level", "title").collect()
+    assert [tuple(r) for r in found] == [(text.index("Title"), 1, "Title")] and time.time() - began < 20
