@@ -328,14 +328,196 @@ def digests(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
-#: For shingles of five words: two texts with a share of 0.8 of their shingles differ in 0.15 of the bits on average.
-NEAR_COPIES = {"words": 5, "covering": Covering(11, 4), "threshold_both": 24}
+# Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, verified on the sets.
+#
+# Candidates come by prefix filtering, which loses none: with the shingles of every set in the order of their hashes, two
+# such sets share one among the first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller set. The
+# fingerprints only save the work of verifying pairs that are far apart.
+
+COPY_WORDS = 5
+#: Bits of 128 that candidates may differ in: at a similarity of 0.8 the mean is 19 and the standard deviation 4. Sets of
+#: fewer than ``SMALL_SET`` shingles are never told apart by bits.
+COPY_BITS, SMALL_SET = 44, 32
+#: Home replicas that a cell is meant to hold.
+COPY_CELL = 20_000
+
+
+def home_prefix(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, n + (-8 * n // 9) + 1, 0)
+
+
+def visit_prefix(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, n + (-4 * n // 5) + 1, 0)
+
+
+def are_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of 0.8 or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * shared >= 4 * (len(a) + len(b) - shared)
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [xxhash.xxh64_intdigest(b" ".join(t.as_py().lower().split()), 42) for t in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "key"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        f1, f2, packs = [], [], []
+        for text in batch.column(1):
+            h = np.unique(shingle_hashes(text.as_py(), COPY_WORDS))
+            f1.append(bits_of(h))
+            f2.append(bits_of(_second(h)))
+            packs.append(h.astype("<u8").tobytes())
+        sizes = pa.array([len(p) // 8 for p in packs], pa.int32())
+        prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2))
+        yield pa.record_batch([batch.column(0), *prints, sizes, pa.array(packs, pa.binary())], ["node", "f1", "f2", "size", "hashes"])
+
+
+def _copy_type(labelled: bool) -> np.dtype:
+    return np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), *([("label", "<i8")] if labelled else [])])
+
+
+def _copy_replicas(cells: int, labelled: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                batch = whole.slice(start, 2000)
+                node, f1, f2, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                sets = [np.frombuffer(h.as_py(), "<u8") for h in batch.column(4)]
+                for kind, lengths in ((HOME, home_prefix(size)), (VISITOR, visit_prefix(size))):
+                    index = np.repeat(np.arange(len(sets)), lengths)
+                    if not len(index):
+                        continue
+                    token = np.concatenate([h[:n] for h, n in zip(sets, lengths.tolist())])
+                    # The first hashes of a set are small ones: they are mixed before they choose a cell.
+                    token = _second(token)
+                    rows = np.empty(len(index), _copy_type(labelled))
+                    rows["anchor"], rows["size"], rows["node"] = token & np.uint64(0xFFFFFFFF), size[index], node[index]
+                    rows["f1"], rows["f2"] = f1.view(np.uint64)[index], f2.view(np.uint64)[index]
+                    if labelled:
+                        rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
+                    cell = (token >> np.uint64(33)).astype(np.int64) % cells
+                    order = np.argsort(cell, kind="stable")
+                    rows, cell = rows[order], cell[order]
+                    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                    packs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                    yield pa.record_batch([pa.array(cell[cuts[:-1]].astype(np.int32)), pa.array([kind] * len(packs), pa.int32()), pa.array(packs, pa.binary())], ["cell", "kind", "pack"])
+
+    return run
+
+
+def near_sets(home: np.ndarray, visitor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of a home, place of a visitor, bits apart) of the candidates at the same anchor. ``home`` is sorted by anchor."""
+    lo, hi = np.searchsorted(home["anchor"], visitor["anchor"]), np.searchsorted(home["anchor"], visitor["anchor"], side="right")
+    met = np.flatnonzero(hi > lo)
+    lo, sizes = lo[met], (hi - lo)[met]
+    ends = np.cumsum(sizes)
+    labelled = "label" in home.dtype.names
+    at = 0
+    while at < len(met):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
+        n = sizes[at:stop]
+        v = np.repeat(met[at:stop], n)
+        h = np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        small, large = home["size"][h].astype(np.int64), visitor["size"][v].astype(np.int64)
+        keep = (small <= large) & (5 * small >= 4 * large) & (home["node"][h] != visitor["node"][v])
+        if labelled:
+            keep &= home["label"][h] != visitor["label"][v]
+        h, v = h[keep], v[keep]
+        apart = (np.bitwise_count(home["f1"][h] ^ visitor["f1"][v]) + np.bitwise_count(home["f2"][h] ^ visitor["f2"][v])).astype(np.int64)
+        close = (apart <= COPY_BITS) | (home["size"][h] < SMALL_SET)
+        if close.any():
+            yield h[close], v[close], apart[close]
+        at = stop
+
+
+def _copy_pairs(labelled: bool):
+    """Candidate pairs of each cell: all where components are known (``labelled``), else for each node its nearest and its smallest one at an anchor."""
+
+    def some(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        first = lambda *by: (o := np.lexsort(by))[np.r_[True, np.diff(by[-1][o]) != 0]]
+        return np.concatenate([first(b, apart, a), first(a, apart, b), first(a, b), first(b, a)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell and kind: the homes of a cell, then its visitors."""
+        key, packs, home = None, [], None
+        for batch in batches:
+            for now, kind, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if now != key:
+                    key, packs, home = now, [], None
+                if kind == HOME:
+                    packs.append(pack.as_py())
+                elif packs or home is not None:
+                    if home is None:
+                        home, packs = np.frombuffer(b"".join(packs), _copy_type(labelled)), []
+                        home = home[np.argsort(home["anchor"], kind="stable")]
+                    visitor = np.frombuffer(pack.as_py(), _copy_type(labelled))
+                    for h, v, apart in near_sets(home, visitor):
+                        a, b = home["node"][h], visitor["node"][v]
+                        if not labelled:
+                            at = some(a, b, apart)
+                            a, b = a[at], b[at]
+                        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+                        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _candidates(nodes: DataFrame, homes: int) -> DataFrame:
+    """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, hashes and, where known, label)."""
+    labelled = "label" in nodes.columns
+    cells = max(24, min(1 << 14, -(-homes // COPY_CELL)))
+    packs = nodes.mapInArrow(_copy_replicas(cells, labelled), "cell int, kind int, pack binary")
+    # The homes of a cell may be dealt to any number of tasks; so that a cell holds few rows, cells grow with the data.
+    met = packs.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_copy_pairs(labelled), "a long, b long")
+    return met.distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [are_copies(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+
+
+def copy_components(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of the rows with a doc_id that are linked to a smaller one.
+
+    Each text is first verified against its nearest and smallest candidates; then all candidates that this has not
+    joined are verified too, so a large group of copies never meets as pairs and no link is lost.
+    """
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
+    keys = stored(texts.mapInArrow(_word_keys, "doc_id long, key long"), "copy-keys")
+    classes = stored(keys.groupBy("key").agg(F.min("doc_id").alias("node")), "copy-classes")
+    # A row of each class; a doc_id whose rows differ may bring sets that stand for no class, which links them as its rows are.
+    reps = texts.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nodes = stored(reps.mapInArrow(_sets, "node long, f1 long, f2 long, size int, hashes binary"), "copy-sets")
+    homes = nodes.agg(F.sum(F.floor(F.col("size") / 9) + 1)).first()[0] or 0
+    first = stored(_candidates(nodes, homes), "copy-candidates")
+    links = stored(_verified(first, nodes), "copy-links")
+    found = components(links)
+    met = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
+    open_ = nodes.join(met, "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "hashes", "label"), homes), "copy-candidates").join(first, ["a", "b"], "left_anti")
+    # Rows that share a doc_id join the classes they are in.
+    own = keys.join(classes, "key").filter("doc_id <> node").select("doc_id", "node")
+    repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    shared = own.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    whole = components(links.union(_verified(rest, nodes)).union(shared))
+    roots = classes.join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return keys.join(roots, "key").filter("component_id < doc_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: a row with the smallest doc_id. Rows without doc_id stay."""
-    found = near_components(docs.select("doc_id", "text"), **NEAR_COPIES)
-    gone = stored(found.filter("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    gone = stored(copy_components(docs).select("doc_id").distinct(), "near-copies")
     name = fresh_name(docs.columns, "_near_row")
     rest = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # Rows that repeat a doc_id with the same text are copies too.

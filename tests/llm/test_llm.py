@@ -294,6 +294,37 @@ def test_simhash_hot_cell(spark, monkeypatch):
     assert found == {i: root(i) for i in range(300) if root(i) != i}
 
 
+def test_keep_one_by_shingles(spark):
+    """Against the components of exact five-word Jaccard >= 0.8, with pairs on both sides of it and texts of few words."""
+    rng, rows = random.Random(11), []
+    for n in (7, 9, 14, 40, 200, 500):
+        for rate in (0.004, 0.01, 0.02, 0.025, 0.03, 0.04, 0.06):
+            for _ in range(4):
+                base = sentence(rng, n).split()
+                near = [w if rng.random() > rate else "x" + w for w in base]
+                tail = base + sentence(rng, rng.randint(1, max(1, n // 3))).split()
+                rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((base, near, tail))]
+    loop = "a b c d e " * 150
+    rows += [(5000, loop + sentence(rng, 100)), (5001, loop + sentence(rng, 100)), (5002, "one two"), (5003, "One  TWO")]
+    sets = {i: (w := t.lower().split()) and {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in parent:
+        for j in parent:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    expect = {i for i in parent if root(i) == i}
+    assert 5001 in expect and 5003 not in expect and 100 < len(expect) < 450
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == expect
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = {(max(a, b), min(a, b)) for a, b in ((rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)) if a != b}
