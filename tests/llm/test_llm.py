@@ -468,6 +468,20 @@ def test_passages(spark):
     assert substring_dedup.passages(empty(df)).count() == 0
 
 
+def test_passage_of_common_sentences(spark):
+    """A passage that two documents share is found though smaller documents hold each of its sentences."""
+    rng, rows, pairs = random.Random(12), [], []
+    for group in range(40):
+        parts = [sentence(rng, 16 + group % 15) for _ in range(4)]
+        at = group * 10
+        rows += [(at + i, f"{sentence(rng, 60)} {p} {sentence(rng, 60)}") for i, p in enumerate(parts)]
+        rows += [(at + i, f"{sentence(rng, 60)} {' '.join(parts)} {sentence(rng, 60)}") for i in (5, 6)]
+        pairs.append((at + 6, at + 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.passages(df).collect()}
+    assert found == set(pairs)
+
+
 def test_without_words():
     assert substring_dedup.without_words(b" a bb\n ccc d ", [(1, 3)]) == b" a d "
     assert substring_dedup.without_words(b"a b c", [(1, 3), (0, 1)]) == b""
