@@ -470,7 +470,7 @@ def _candidates(nodes: DataFrame, homes: int) -> DataFrame:
     labelled = "label" in nodes.columns
     cells = max(24, min(1 << 14, -(-homes // COPY_CELL)))
     packs = nodes.mapInArrow(_copy_replicas(cells, labelled), "cell int, kind int, pack binary")
-    # The homes of a cell may be dealt to any number of tasks; so that a cell holds few rows, cells grow with the data.
+    # Cells grow in number with the data; all homes of a cell are in one task, hot ones too.
     met = packs.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_copy_pairs(labelled), "a long, b long")
     return met.distinct()
 
