@@ -18,14 +18,15 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,11 +35,14 @@ from .common import text_or_empty
 
 #: Stands for the end mark in token strings: no byte is written as a space.
 END = " "
-#: Words up to this length are kept with their ids, in a young and an old store of bounded size.
-KEPT_CHARS, KEPT_WORDS, KEPT_PAIRS = 48, 300_000, 1_000_000
+#: Bounds of what a worker keeps: words or chunks with their ids, and pairs; the bytes of texts that are looked up at once,
+#: and the unknown words of one text for the library.
+KEPT, KEPT_PAIRS, AT_ONCE, JOINED = 400_000, 1_000_000, 8 << 20, 200
 NEVER = 1 << 60
 #: Below this, characters have one spelling, fixed classes and a fixed lower case in every Unicode version.
 STABLE = "ɐ"
+#: Characters from there on, one whose lower case is two, and those that Arrow's split takes for spaces and the library doesn't.
+UNSTABLE = re.compile(f"[{STABLE}-\U0010ffff\u0130\x1c-\x1f]")
 # The classes of the word pattern in that range, as the inside of a character class.
 STABLE_CLASSES = {r"[\p{L}]": r"[a-zª\xb5ºß-öø-ɏ]", r"[\p{N}]": "[0-9²³¹¼-¾]", r"\s\p{L}\p{N}": r"\t-\r\x20\x85\xa0a-zª\xb5ºß-öø-ɏ0-9²³¹¼-¾"}
 
@@ -50,11 +54,38 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Kept:
+    """Strings with their ids: those of number i are ids[at[i] : at[i + 1]]."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def number(self, strings: list[str], encode) -> np.ndarray:
+        """The number of each string; ``encode`` gives the ids of unknown ones, and how many ids each has."""
+        if len(self.numbers) > KEPT:
+            self.__init__()
+        found = list(map(self.numbers.get, strings))
+        if None in found:
+            fresh = list(dict.fromkeys(s for s, n in zip(strings, found) if n is None))
+            self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh))))
+            ids, sizes = encode(fresh)
+            self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            found = [self.numbers[s] if n is None else n for s, n in zip(strings, found)]
+        return np.array(found, np.int64)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after the other, and where each string's ids end."""
+        starts, sizes = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+
 class BacktrackingBpe:
     """The encoder of one vocabulary file of the tokenizers library (word-splitting BPE)."""
 
     def __init__(self, path: str, by_library: bool = False):
-        """by_library: words that aren't kept go to the library's model, for callers that only need the ids."""
+        """by_library: chunks that aren't kept go to the library's model, for callers that only need the ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores already
         self.by_library = by_library
         with open(path, encoding="utf-8") as f:
@@ -89,8 +120,10 @@ class BacktrackingBpe:
         self.shorter: dict[int, int] = {}
         self.whole: dict[int, bool] = {}
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
-        #: Young and old store of words with their ids, for plain words and for words in byte characters.
-        self.kept: tuple[list[dict[str, bytes]], ...] = ([{}, {}], [{}, {}])
+        #: Words, and the chunks between spaces.
+        self.words_kept, self.chunks_kept = Kept(), Kept()
+        self.ends = np.zeros(max(self.names) + 1, bool)
+        self.ends[list(self.last)] = True
         # The offset table: the text of id i is blob[at[i] : at[i + 1]].
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         parts = [names.get(i, "").encode() for i in range(max(names) + 1)]
@@ -176,45 +209,66 @@ class BacktrackingBpe:
                 raise ValueError("the vocabulary can't spell this word")
         return out
 
-    def _ids_of(self, words: list[str], mapped: bool) -> list[bytes]:
-        """The packed ids of words that aren't kept."""
-        if self.by_library and not mapped:
-            encoded = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        else:
-            letters = self.letters
-            encoded = [self.encode_word(w if mapped else "".join([letters[b] for b in w.encode()])) for w in words]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in encoded]
-
-    def _piece(self, text: str) -> list[bytes]:
-        mapped = not text.isascii() and max(text) >= STABLE
-        if mapped:  # the library's own normalizer and word split, whatever its Unicode version
-            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        else:
-            words = self.words(text.lower())
-        kept = self.kept[mapped]
-        out = list(map(kept[0].get, words))
-        if None in out:
-            new = dict.fromkeys(w for w, packed in zip(words, out) if packed is None)
-            for word in new:
-                new[word] = kept[1].get(word)
-            lacking = [w for w, packed in new.items() if packed is None]
-            new.update(zip(lacking, self._ids_of(lacking, mapped)))
-            out = [new[w] if packed is None else packed for w, packed in zip(words, out)]
-            if len(kept[0]) >= KEPT_WORDS:
-                kept[:] = {}, kept[0]
-            kept[0].update((w, packed) for w, packed in new.items() if len(w) <= KEPT_CHARS)
-        return out
+    def _encoded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, and how many each has."""
+        if self.by_library and self.end:
+            # Spaces bound words, and a word's last id alone has the end mark.
+            texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+            return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        letters, encode_word = self.letters, self.encode_word
+        found = [encode_word("".join([letters[b] for b in w.encode()])) for w in words]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found])
+
+    def _encoded_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks without spaces, and how many each has."""
+        words = [self.words(c) for c in chunks]
+        ids, ends = self.words_kept.joined(self.words_kept.number(list(chain.from_iterable(words)), self._encoded_words))
+        return ids, np.diff(np.r_[0, ends][np.cumsum([len(w) for w in words])], prepend=0)
+
+    def _mapped(self, text: str) -> list[int]:
+        """The ids of a text of any characters, by the library's own normalizer and word split, whatever its Unicode version."""
+        if self.by_library:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return [i for w, _ in words for i in self.encode_word(w)]
+
+    def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of plain characters: each distinct chunk between spaces is looked up once."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        chunks = split.flatten().dictionary_encode()
+        numbers = self.chunks_kept.number(chunks.dictionary.to_pylist(), self._encoded_chunks)
+        ids, ends = self.chunks_kept.joined(numbers[chunks.indices.to_numpy()])
+        return np.split(ids, np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()][1:-1])
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            plain = UNSTABLE.search(text) is None and not any(x in text for x in self.special)
+            if plain:
+                held.append(text)
+                size += len(text)
+            if held and (size >= AT_ONCE or not plain):
+                yield from self._looked_up(held)
+                held, size = [], 0
+            if not plain:
+                yield self._whole(text)
+        if held:
+            yield from self._looked_up(held)
+
+    def _whole(self, text: str) -> np.ndarray:
+        parts = self.cut.split(text) if self.cut else [text]
+        return np.array([i for x in parts for i in ([self.special[x]] if x in self.special else self._mapped(x))], np.uint32)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not any(x in text for x in self.special):
-            return b"".join(self._piece(text))
-        parts = self.cut.split(text)
-        return b"".join(struct.pack("<I", self.special[x]) if x in self.special else b"".join(self._piece(x)) for x in parts)
+        return next(self.encode_all([text])).astype("<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         """The tokens' texts joined by spaces, in UTF-8, as the library does where the file names no decoder."""
-        ids = np.frombuffer(packed, "<u4")
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
         if not len(ids):
             return b""
         sizes = self.at[ids + 1] - self.at[ids]
@@ -240,8 +294,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         bpe = encoder(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
-            for text in batch.column(1):
-                packed = bpe.encode(text.as_py())
+            for text_ids in bpe.encode_all(text.as_py() for text in batch.column(1)):
+                packed = text_ids.astype("<u4").tobytes()
                 counts.append(len(packed) // 4)
                 ids.append(sha256(packed).hexdigest())
                 decoded.append(sha256(bpe.decode(packed)).hexdigest())

@@ -2,13 +2,14 @@
 
 The cost of a piece of n tokens is ``linear * n + quadratic * n * n``, the estimate of its attention. A
 document longer than a sequence is cut into whole sequences and a rest; rests go in descending order
-to the sequence of lowest cost that still has room, and a rest that fits nowhere is cut over the
-sequences of lowest cost. A task packs stretches of about ``stretch`` tokens, each into the least
+to the sequence of lowest cost that still has room, and a rest that fits nowhere is cut at those
+with the most room. A task packs stretches of about ``stretch`` tokens, each into the least
 number of sequences, so that only one sequence's worth of padding falls to a stretch. Nothing is
 shuffled, and no group can grow: the stretches follow the partitions of the input.
 
 Defined cases: a null or empty text is the closing id alone; texts longer than a stretch are packed
-with the stretch they end in; repeated rows are packed one by one; an empty table gives no pieces;
+with the stretch they end in; of equal lengths the earlier row goes first; repeated rows and rows with a
+null doc_id are packed one by one; an empty table gives no pieces;
 further columns are ignored. Sequence ids hold the partition in their high bits.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,36 @@ def balance(sizes: np.ndarray, room: int, linear: float, quadratic: float) -> tu
             whole += 1
     rest = sizes % room
     left, cost = np.full(count - whole, room), np.zeros(count - whole)
+    # Rests come in descending order, so a sequence without room for one may have it for a later one: it waits by its room.
+    ready = [(0.0, at) for at in range(count - whole)]
+    waiting: list[tuple[int, int]] = []
+
+    def put(row: int, start: int, n: int, at: int) -> None:
+        out.append((row, start, n, whole + at, room - int(left[at])))
+        left[at] -= n
+        cost[at] += linear * n + quadratic * n * n
+
     for row in np.argsort(-rest, kind="stable").tolist():
         n = int(rest[row])
         start = int(sizes[row]) - n
+        while waiting and -waiting[0][0] >= n > 0:
+            at = heappop(waiting)[1]
+            heappush(ready, (float(cost[at]), at))
         while n:
-            fits = np.where(left >= n, cost, np.inf)
-            at = int(fits.argmin()) if len(fits) else 0
-            if fits[at] == np.inf:
-                at = int(np.where(left > 0, cost, np.inf).argmin())
+            while ready and left[ready[0][1]] < n:
+                at = heappop(ready)[1]
+                if left[at]:
+                    heappush(waiting, (-int(left[at]), at))
+            # A rest that fits nowhere is cut at the sequence with the most room.
+            at = heappop(ready)[1] if ready else heappop(waiting)[1]
             part = min(n, int(left[at]))
-            out.append((row, start, part, whole + at, room - int(left[at])))
-            left[at] -= part
-            cost[at] += linear * part + quadratic * part * part
+            put(row, start, part, at)
             start, n = start + part, n - part
+            if left[at]:
+                heappush(ready, (float(cost[at]), at))
+            while waiting and -waiting[0][0] >= n > 0:
+                other = heappop(waiting)[1]
+                heappush(ready, (float(cost[other]), other))
     return out, count
 
 
@@ -60,7 +79,7 @@ def pack(docs: DataFrame, path: str, room: int = 2048, linear: float = 1.0, quad
     """One row for each piece of a document, with its place in a sequence of at most ``room`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, by_library=True).encode
+        bpe = encoder(path, by_library=True)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple[int | None, bytes]] = []
         held = 0
@@ -80,8 +99,9 @@ def pack(docs: DataFrame, path: str, room: int = 2048, linear: float = 1.0, quad
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + CLOSING
+            texts = bpe.encode_all(text.as_py() for text in batch.column(1))
+            for doc, text_ids in zip(batch.column(0).to_pylist(), texts):
+                ids = text_ids.astype("<u4").tobytes() + CLOSING
                 rows.append((doc, ids))
                 held += len(ids) // 4
                 if held >= stretch:
