@@ -482,6 +482,34 @@ def test_passage_of_common_sentences(spark):
     assert found == set(pairs)
 
 
+def test_passages_follow_from_the_rows(spark, monkeypatch):
+    """One partition or many, hot seeds or none: the same passages. Verbatim ones of 62 words or more against brute force."""
+    rng = random.Random(21)
+    sentences = [sentence(rng, n) for n in (9, 14, 20, 23, 31, 40, 45, 49) for _ in range(5)]
+    rows = []
+    for i in range(150):
+        parts = [rng.choice(sentences) if rng.random() < 0.7 else sentence(rng, rng.randint(1, 40)) for _ in range(rng.randint(2, 8))]
+        rows.append((i, " ".join(parts)))
+    rows += [(150 + i, f"{sentence(rng, 20)} {rows[3][1]} {sentences[-1]}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    result = lambda d: sorted(tuple(r) for r in substring_dedup.passages(d).collect())
+    one = result(df.coalesce(1))
+    assert result(df.repartition(16)) == one
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    assert result(df.coalesce(1)) == one
+    first: dict[tuple, int] = {}
+    due = set()
+    for i, text in rows:
+        w = text.split()
+        for k in range(len(w) - 61):
+            if first.setdefault(tuple(w[k : k + 62]), i) < i:
+                due.add((i, k))
+    covered = defaultdict(set)
+    for doc, _, a, b, *_ in one:
+        covered[doc] |= set(range(a, b))
+    assert len(due) > 500 and all(len(covered[i] & set(range(k, k + 62))) >= 50 for i, k in due)
+
+
 def test_fuzzy_passages(spark):
     """Passages with substituted words against the words that agree by construction, which no alignment can better much."""
     rng, rows, near = random.Random(13), [], {0.82: [], 0.85: [], 0.9: []}
