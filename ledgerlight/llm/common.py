@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +16,14 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Only where the setting is missing (tests, one machine) a temporary folder takes its place.
+    Only on one machine (tests) a temporary folder takes its place where the setting is missing.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        found = known or tempfile.mkdtemp(prefix="spark-shared-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -38,6 +39,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """Byte by byte of all rows, which leaves equal bytes side by side for the shuffle's compression."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), rows.itemsize).T).tobytes()
+
+
+def unplaned(pack: bytes, dtype: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pack, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
 def fresh_name(taken: list[str], base: str) -> str:
     """``base``, with underscores added until no column of ``taken`` has that name (compared without case)."""
     used = {x.lower() for x in taken}
@@ -48,11 +58,3 @@ def fresh_name(taken: list[str], base: str) -> str:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def with_text(docs: DataFrame, text) -> DataFrame:
-    """``docs`` with ``text`` in place of its text column, and ``n_chars``, where there is one, set to its length."""
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return docs.withColumns(new)

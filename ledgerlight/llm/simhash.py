@@ -1,10 +1,11 @@
 """SimHash near-dedup by anchor-point covering.
 
-Fingerprints within ``threshold`` bits must share a block of bits with at most threshold // blocks
-differences. In each block the anchors are the words of a covering code: a perfect Hamming code on
+Fingerprints are cut into blocks, and several blocks together make a word: of six blocks, any two that
+near fingerprints share whole (four differing bits spoil four blocks at most), of seven any three, of eight
+any four as the rows grow. In each word the anchors are those of a covering code: a perfect Hamming code on
 fifteen bits (every string is within one bit of an anchor) beside free bits. A fingerprint is at home
 at the anchor nearest to it and is replicated to every anchor within the covering radius plus the
-block's threshold; so whichever of two near fingerprints is taken, the other one visits its home.
+word's threshold; so whichever of two near fingerprints is taken, the other one visits its home.
 Per anchor, homes are compared with visitors on the whole fingerprint.
 
 Equal fingerprints are one class before anything is replicated, and a class travels as its smallest
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, stored, text_or_empty
+from .common import fresh_name, planes, stored, text_or_empty, unplaned
 from .components import components
 
 #: Homes that a cell is meant to hold, and those that one task compares at most; further ones go to further tasks.
@@ -43,19 +44,27 @@ SHIFTS = np.arange(64, dtype=np.uint64)
 
 @dataclass(frozen=True)
 class Covering:
-    """Blocks of the fingerprint, and how far a replica may go within a block."""
+    """The fingerprint is cut into ``blocks``; every ``together`` of them make a word that anchors cover."""
 
     threshold: int
     blocks: int
+    together: int = 1
 
     @property
     def within(self) -> int:
-        return self.threshold // self.blocks
+        """Bits in which the best word of two near fingerprints differs at most, if the bits that differ are spread evenly."""
+        each, more = divmod(self.threshold, self.blocks)
+        return self.together * each + max(0, self.together - (self.blocks - more))
 
-    def spans(self) -> list[tuple[int, int]]:
-        """(first bit, number of bits) of each block."""
+    def words(self) -> list[list[tuple[int, int]]]:
+        """The (first bit, number of bits) of the blocks of each word."""
         cuts = [64 * i // self.blocks for i in range(self.blocks + 1)]
-        return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        return [list(x) for x in combinations([(a, b - a) for a, b in zip(cuts, cuts[1:])], self.together)]
+
+
+def covering_for(rows: int) -> Covering:
+    """Of words for links of four bits, those whose anchors keep the comparisons of a row few: 2^17, 2^23 or 2^28 of them."""
+    return Covering(4, 6, 2) if rows < 1 << 21 else Covering(4, 7, 3) if rows < 1 << 27 else Covering(4, 8, 4)
 
 
 # Column i of the parity checks of the [15, 11] Hamming code is the number i + 1.
@@ -144,10 +153,13 @@ HOME, VISITOR = 0, 1
 
 def _anchored(covering: Covering, f1: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index, anchor with its block's number in the top bits) for all homes or all visits."""
-    for number, (first, bits) in enumerate(covering.spans()):
-        block = (f1 >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        index, anchor = (np.arange(len(f1)), homes(block)) if kind == HOME else visits(block, bits, 1 + covering.within)
-        yield index, anchor | np.uint64(number << 60)
+    for number, parts in enumerate(covering.words()):
+        word, bits = np.zeros(len(f1), np.uint64), 0
+        for first, size in parts:
+            word |= ((f1 >> np.uint64(first)) & np.uint64((1 << size) - 1)) << np.uint64(bits)
+            bits += size
+        index, anchor = (np.arange(len(f1)), homes(word)) if kind == HOME else visits(word, bits, 1 + covering.within)
+        yield index, anchor | np.uint64(number << 48)
 
 
 def _cell(anchor: np.ndarray, cells: int) -> np.ndarray:
@@ -289,9 +301,11 @@ def _compare(threshold: int, threshold_both: int | None):
     return run
 
 
-def near_links(classes: DataFrame, covering: Covering, threshold_both: int | None = None, rows: int | None = None) -> DataFrame:
+def near_links(classes: DataFrame, covering: Covering | None = None, threshold_both: int | None = None, rows: int | None = None) -> DataFrame:
     """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
-    cells = max(24, min(1 << 14, -(-(classes.count() if rows is None else rows) * covering.blocks // CELL_ROWS)))
+    rows = classes.count() if rows is None else rows
+    covering = covering or covering_for(rows)
+    cells = max(24, min(1 << 14, -(-rows * len(covering.words()) // CELL_ROWS)))
     nodes = classes.select("node", "f1", "f2")
     # A row for each cell at most (16,384): small by construction, so it may be broadcast.
     loads = nodes.mapInArrow(_loads(covering, cells), "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
@@ -306,7 +320,7 @@ def near_links(classes: DataFrame, covering: Covering, threshold_both: int | Non
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def near_components(docs: DataFrame, words: int = 4, covering: Covering = Covering(4, 3), threshold_both: int | None = None) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 4, covering: Covering | None = None, threshold_both: int | None = None) -> DataFrame:
     """doc_id, f1 and component_id of every row; with ``threshold_both``, f2 must be near as well."""
     prints = stored(fingerprints(docs, words), "fingerprints")
     pair = ["f1", "f2"] if threshold_both is not None else ["f1"]
@@ -330,16 +344,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
 # Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, verified on the sets.
 #
-# Candidates come by prefix filtering, which loses none: with the shingles of every set in the order of their hashes, two
-# such sets share one among the first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller set. The
-# fingerprints only save the work of verifying pairs that are far apart.
+# Candidates come by prefix filtering, which loses none: with the shingles of every set in one order, two such sets share
+# one among the first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller set. Any order will do: by
+# hash, but shingles that a large share of all texts hold come last, so that no anchor gathers them. The fingerprints only
+# save the work of verifying pairs that are far apart.
 
 COPY_WORDS = 5
 #: Bits of 128 that candidates may differ in: at a similarity of 0.8 the mean is 19 and the standard deviation 4. Sets of
 #: fewer than ``SMALL_SET`` shingles are never told apart by bits.
 COPY_BITS, SMALL_SET = 44, 32
-#: Home replicas that a cell is meant to hold.
-COPY_CELL = 20_000
+#: Replicas that a cell is meant to hold, and the share of texts from which a shingle is frequent: at most ``FREQUENT``
+#: times the mean size of a set are.
+COPY_CELL, FREQUENT = 50_000, 256
+#: Bits of the filter that keeps texts without candidates from being shuffled (1 MB; when full it only lets all pass).
+FILTER_BITS = 1 << 23
+COPY = np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), ("home", "u1")])
+LABELLED = np.dtype([*COPY.descr, ("label", "<i8")])
 
 
 def home_prefix(n: np.ndarray) -> np.ndarray:
@@ -352,175 +372,242 @@ def visit_prefix(n: np.ndarray) -> np.ndarray:
 
 def are_copies(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of hashes have a Jaccard similarity of 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [xxhash.xxh64_intdigest(b" ".join(t.as_py().lower().split()), 42) for t in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "key"])
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingles, as hashes of 40 bits."""
+    return np.unique(shingle_hashes(text, COPY_WORDS) >> np.uint64(24))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of the words of each text, and the shingles that many texts of the batch hold with their number there."""
+    names = ["doc_id", "key", "token", "n"]
     for batch in batches:
-        f1, f2, packs = [], [], []
-        for text in batch.column(1):
-            h = np.unique(shingle_hashes(text.as_py(), COPY_WORDS))
-            f1.append(bits_of(h))
-            f2.append(bits_of(_second(h)))
-            packs.append(h.astype("<u8").tobytes())
-        sizes = pa.array([len(p) // 8 for p in packs], pa.int32())
-        prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2))
-        yield pa.record_batch([batch.column(0), *prints, sizes, pa.array(packs, pa.binary())], ["node", "f1", "f2", "size", "hashes"])
+        texts = [t.as_py() for t in batch.column(1)]
+        keys = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) for t in texts]
+        n = len(texts)
+        yield pa.record_batch([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+        # Copies count once: each distinct text of the batch.
+        sets = [shingle_set(t) for t in dict(zip(keys, texts)).values()]
+        tokens, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        often = counts >= max(2, n // (2 * FREQUENT))
+        k = int(often.sum())
+        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tokens[often].astype(np.int64)), pa.array(counts[often])], names)
+
+
+def _prefixes(frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f1, f2, sizes, packs = [], [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py())
+                f1.append(bits_of(_second(h)))
+                f2.append(bits_of(_second(_second(h))))
+                sizes.append(len(h))
+                if len(frequent) and len(h):
+                    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                    h = np.concatenate([h[~late], h[late]])
+                packs.append(h[: int(visit_prefix(np.int64(len(h))))].astype("<u8").tobytes())
+            prints = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2))
+            yield pa.record_batch([batch.column(0), *prints, pa.array(sizes, pa.int32()), pa.array(packs, pa.binary())], ["node", "f1", "f2", "size", "tokens"])
 
+    return run
 
-def _copy_type(labelled: bool) -> np.dtype:
-    return np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), *([("label", "<i8")] if labelled else [])])
 
+def _copy_replicas(cells: int, dtype: np.dtype):
+    """The anchors of each text, packed by cell."""
 
-def _copy_replicas(cells: int, labelled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, len(whole), 5000):
+                batch = whole.slice(start, 5000)
                 node, f1, f2, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                sets = [np.frombuffer(h.as_py(), "<u8") for h in batch.column(4)]
-                for kind, lengths in ((HOME, home_prefix(size)), (VISITOR, visit_prefix(size))):
-                    index = np.repeat(np.arange(len(sets)), lengths)
-                    if not len(index):
-                        continue
-                    token = np.concatenate([h[:n] for h, n in zip(sets, lengths.tolist())])
-                    # The first hashes of a set are small ones: they are mixed before they choose a cell.
-                    token = _second(token)
-                    rows = np.empty(len(index), _copy_type(labelled))
-                    rows["anchor"], rows["size"], rows["node"] = token & np.uint64(0xFFFFFFFF), size[index], node[index]
-                    rows["f1"], rows["f2"] = f1.view(np.uint64)[index], f2.view(np.uint64)[index]
-                    if labelled:
-                        rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
-                    cell = (token >> np.uint64(33)).astype(np.int64) % cells
-                    order = np.argsort(cell, kind="stable")
-                    rows, cell = rows[order], cell[order]
-                    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-                    packs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                    yield pa.record_batch([pa.array(cell[cuts[:-1]].astype(np.int32)), pa.array([kind] * len(packs), pa.int32()), pa.array(packs, pa.binary())], ["cell", "kind", "pack"])
+                lengths = visit_prefix(size.astype(np.int64))
+                index = np.repeat(np.arange(len(node)), lengths)
+                if not len(index):
+                    continue
+                # Hashes that come first are small ones: they are mixed before they choose a cell.
+                token = _second(np.frombuffer(b"".join(x.as_py() for x in batch.column(4)), "<u8"))
+                rows = np.empty(len(index), dtype)
+                rows["anchor"], rows["size"], rows["node"] = token & np.uint64(0xFFFFFFFF), size[index], node[index]
+                rows["f1"], rows["f2"] = f1.view(np.uint64)[index], f2.view(np.uint64)[index]
+                place = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                rows["home"] = place < home_prefix(size.astype(np.int64))[index]
+                if "label" in dtype.names:
+                    rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
+                cell = (token >> np.uint64(33)).astype(np.int64) % cells
+                order = np.argsort(cell, kind="stable")
+                rows, cell = rows[order], cell[order]
+                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                packs = [planes(rows[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.record_batch([pa.array(cell[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary())], ["cell", "pack"])
 
     return run
 
 
-def near_sets(home: np.ndarray, visitor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(place of a home, place of a visitor, bits apart) of the candidates at the same anchor. ``home`` is sorted by anchor."""
-    lo, hi = np.searchsorted(home["anchor"], visitor["anchor"]), np.searchsorted(home["anchor"], visitor["anchor"], side="right")
+def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the smaller set, row of the larger set, bits apart) of the candidates at the same anchor."""
+    home = np.flatnonzero(rows["home"])
+    home = home[np.argsort(rows["anchor"][home], kind="stable")]
+    anchors = rows["anchor"][home]
+    lo, hi = np.searchsorted(anchors, rows["anchor"]), np.searchsorted(anchors, rows["anchor"], side="right")
     met = np.flatnonzero(hi > lo)
     lo, sizes = lo[met], (hi - lo)[met]
     ends = np.cumsum(sizes)
-    labelled = "label" in home.dtype.names
     at = 0
     while at < len(met):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
         n = sizes[at:stop]
         v = np.repeat(met[at:stop], n)
-        h = np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        small, large = home["size"][h].astype(np.int64), visitor["size"][v].astype(np.int64)
-        keep = (small <= large) & (5 * small >= 4 * large) & (home["node"][h] != visitor["node"][v])
-        if labelled:
-            keep &= home["label"][h] != visitor["label"][v]
+        h = home[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        small, large = rows["size"][h].astype(np.int64), rows["size"][v].astype(np.int64)
+        keep = (small <= large) & (5 * small >= 4 * large) & (rows["node"][h] != rows["node"][v])
+        if "label" in rows.dtype.names:
+            keep &= rows["label"][h] != rows["label"][v]
         h, v = h[keep], v[keep]
-        apart = (np.bitwise_count(home["f1"][h] ^ visitor["f1"][v]) + np.bitwise_count(home["f2"][h] ^ visitor["f2"][v])).astype(np.int64)
-        close = (apart <= COPY_BITS) | (home["size"][h] < SMALL_SET)
+        apart = (np.bitwise_count(rows["f1"][h] ^ rows["f1"][v]) + np.bitwise_count(rows["f2"][h] ^ rows["f2"][v])).astype(np.int64)
+        close = (apart <= COPY_BITS) | (rows["size"][h] < SMALL_SET)
         if close.any():
             yield h[close], v[close], apart[close]
         at = stop
 
 
-def _copy_pairs(labelled: bool):
-    """Candidate pairs of each cell: all where components are known (``labelled``), else for each node its nearest and its smallest one at an anchor."""
+def _copy_pairs(dtype: np.dtype):
+    """Candidate pairs of each cell: all where components are known, else for each node its nearest and its smallest one."""
 
     def some(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
         first = lambda *by: (o := np.lexsort(by))[np.r_[True, np.diff(by[-1][o]) != 0]]
         return np.concatenate([first(b, apart, a), first(a, apart, b), first(a, b), first(b, a)])
 
+    def pairs(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([unplaned(p, dtype) for p in packs])
+        for h, v, apart in near_sets(rows):
+            a, b = rows["node"][h], rows["node"][v]
+            if "label" not in dtype.names:
+                at = some(a, b, apart)
+                a, b = a[at], b[at]
+            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell and kind: the homes of a cell, then its visitors."""
-        key, packs, home = None, [], None
+        """Rows come sorted by cell."""
+        key, packs = None, []
         for batch in batches:
-            for now, kind, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for now, pack in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if now != key:
-                    key, packs, home = now, [], None
-                if kind == HOME:
-                    packs.append(pack.as_py())
-                elif packs or home is not None:
-                    if home is None:
-                        home, packs = np.frombuffer(b"".join(packs), _copy_type(labelled)), []
-                        home = home[np.argsort(home["anchor"], kind="stable")]
-                    visitor = np.frombuffer(pack.as_py(), _copy_type(labelled))
-                    for h, v, apart in near_sets(home, visitor):
-                        a, b = home["node"][h], visitor["node"][v]
-                        if not labelled:
-                            at = some(a, b, apart)
-                            a, b = a[at], b[at]
-                        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-                        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    if packs:
+                        yield from pairs(packs)
+                    key, packs = now, []
+                packs.append(pack.as_py())
+        if packs:
+            yield from pairs(packs)
 
     return run
 
 
-def _candidates(nodes: DataFrame, homes: int) -> DataFrame:
-    """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, hashes and, where known, label)."""
-    labelled = "label" in nodes.columns
-    cells = max(24, min(1 << 14, -(-homes // COPY_CELL)))
-    packs = nodes.mapInArrow(_copy_replicas(cells, labelled), "cell int, kind int, pack binary")
-    # Cells grow in number with the data; all homes of a cell are in one task, hot ones too.
-    met = packs.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_copy_pairs(labelled), "a long, b long")
-    return met.distinct()
+def _candidates(nodes: DataFrame, replicas: int) -> DataFrame:
+    """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, tokens and, where known, label)."""
+    dtype = LABELLED if "label" in nodes.columns else COPY
+    cells = max(24, min(1 << 20, -(-replicas // COPY_CELL)))
+    packs = nodes.mapInArrow(_copy_replicas(cells, dtype), "cell int, pack binary")
+    return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(dtype), "a long, b long").distinct()
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits at which the hashes of the ids stand, put together by the executors."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # buckets and positions count from 1
+    found = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in found:
+        first = (r.part - 1) * 4096
+        bits[first : first + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+    return bits
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """node and shingles (hashes of 40 bits, byte by byte) of the texts with these ids, and of few others."""
+    bits = _filter_of(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0))
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                packs = [np.ascontiguousarray(shingle_set(t.as_py()).view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes() for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(packs, pa.binary())], ["node", "hashes"])
+
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return texts.select("doc_id", "text", at.alias("at")).mapInArrow(run, "node long, hashes binary")
+
+
+def _unpacked(pack: bytes) -> np.ndarray:
+    five = np.frombuffer(pack, np.uint8).reshape(5, -1)
+    return sum(five[i].astype(np.uint64) << np.uint64(8 * i) for i in range(5))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [are_copies(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column(2), batch.column(3))]
+            same = [are_copies(_unpacked(x.as_py()), _unpacked(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
+    sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
 
-def copy_components(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of the rows with a doc_id, and of each of these rows the hash of its words, among frequent shingles."""
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
+    return texts, stored(texts.mapInArrow(_word_keys, "doc_id long, key long, token long, n long"), "copy-keys")
+
+
+def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """doc_id and component_id of the rows with a doc_id that are linked to a smaller one.
 
     Each text is first verified against its nearest and smallest candidates; then all candidates that this has not
     joined are verified too, so a large group of copies never meets as pairs and no link is lost.
     """
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
-    keys = stored(texts.mapInArrow(_word_keys, "doc_id long, key long"), "copy-keys")
+    keys = keyed.filter("doc_id IS NOT NULL").select("doc_id", "key")
     classes = stored(keys.groupBy("key").agg(F.min("doc_id").alias("node")), "copy-classes")
-    # A row of each class; a doc_id whose rows differ may bring sets that stand for no class, which links them as its rows are.
-    reps = texts.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nodes = stored(reps.mapInArrow(_sets, "node long, f1 long, f2 long, size int, hashes binary"), "copy-sets")
-    homes = nodes.agg(F.sum(F.floor(F.col("size") / 9) + 1)).first()[0] or 0
-    first = stored(_candidates(nodes, homes), "copy-candidates")
-    links = stored(_verified(first, nodes), "copy-links")
+    often = keyed.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    least = max(16, classes.count() // FREQUENT)
+    frequent = np.array(sorted(r.token for r in often.filter(F.col("n") >= least).select("token").collect()), np.uint64)
+    all_ = texts.mapInArrow(_prefixes(frequent), "node long, f1 long, f2 long, size int, tokens binary")
+    # The text of each class; a doc_id whose rows differ may bring sets that stand for no class, which links them as its rows are.
+    nodes = stored(all_.join(classes.select("node").distinct(), "node", "left_semi"), "copy-nodes")
+    replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
+    first = stored(_candidates(nodes, replicas), "copy-candidates")
+    links = stored(_verified(first, texts), "copy-links")
     found = components(links)
-    met = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
+    met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     open_ = nodes.join(met, "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "hashes", "label"), homes), "copy-candidates").join(first, ["a", "b"], "left_anti")
+    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas).join(first, ["a", "b"], "left_anti"), "copy-candidates")
     # Rows that share a doc_id join the classes they are in.
     own = keys.join(classes, "key").filter("doc_id <> node").select("doc_id", "node")
     repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     shared = own.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    whole = components(links.union(_verified(rest, nodes)).union(shared))
+    whole = components(links.union(_verified(rest, texts)).union(shared))
     roots = classes.join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return keys.join(roots, "key").filter("component_id < doc_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: a row with the smallest doc_id. Rows without doc_id stay."""
-    gone = stored(copy_components(docs).select("doc_id").distinct(), "near-copies")
+    texts, keyed = _keys(docs)
+    gone = stored(copy_components(texts, keyed).select("doc_id").distinct(), "near-copies")
+    ids = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = stored(ids.filter("n > 1").select("doc_id"), "repeated-ids")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = docs.join(gone, "doc_id", "left_anti")
+    # Rows that repeat a doc_id with the same text are copies too; the others needn't be shuffled.
     name = fresh_name(docs.columns, "_near_row")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    # Rows that repeat a doc_id with the same text are copies too.
-    keyed = rest.withColumn(name, F.xxhash64(text_or_empty("text")))
-    once = keyed.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", name])
-    return once.unionByName(keyed.filter("doc_id IS NULL")).drop(name)
+    several = rest.join(repeated, "doc_id", "left_semi").withColumn(name, F.xxhash64(text_or_empty("text"))).dropDuplicates(["doc_id", name])
+    return rest.join(repeated, "doc_id", "left_anti").select(*columns).union(several.select(*columns))

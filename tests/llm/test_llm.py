@@ -223,7 +223,7 @@ def test_balance_prefers_low_cost():
 # SimHash and components
 
 
-@pytest.mark.parametrize("covering", [simhash.Covering(4, 3), simhash.Covering(11, 4)])
+@pytest.mark.parametrize("covering", [simhash.Covering(4, 3), simhash.Covering(11, 4), *map(simhash.covering_for, (1, 1 << 24, 1 << 30))])
 def test_covering(covering):
     rng = np.random.default_rng(1)
     for _ in range(150):
@@ -235,6 +235,15 @@ def test_covering(covering):
         assert any(home[0] in anchors for (_, home), (_, anchors) in both)
 
 
+def test_comparisons_stay_few():
+    """A row meets few others while the rows grow: visits times homes, over the anchors."""
+    for rows, most in ((1 << 17, 50), (1 << 21, 200), (1 << 26, 600), (1 << 30, 800)):
+        c = simhash.covering_for(rows)
+        prints = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+        met = sum(len(anchors) / len(prints) / 2 ** (sum(size for _, size in word) - 4) for word, (_, anchors) in zip(c.words(), simhash._anchored(c, prints, simhash.VISITOR)))
+        assert c.within == 0 and rows * met < most
+
+
 def simhash_brute(rows, threshold=4):
     prints = []
     for i, text in rows:
