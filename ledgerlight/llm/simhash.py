@@ -36,8 +36,9 @@ from .common import fresh_name, planes, stored, text_or_empty, unplaned
 from .components import components
 
 #: Homes that a cell is meant to hold, and those that one task compares at most; further ones go to further tasks.
-CELL_ROWS, CELL_HOMES = 4_000, 200_000
-#: Comparisons held at once.
+CELL_ROWS, CELL_HOMES = 40_000, 200_000
+#: Rows whose replicas are packed at once, and comparisons held at once.
+PACK_ROWS = 10_000
 CHUNK = 1 << 21
 SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -186,8 +187,8 @@ def _loads(covering: Covering, cells: int):
 def _replicas(covering: Covering, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 2000):
-                batch = whole.slice(start, 2000)
+            for start in range(0, len(whole), PACK_ROWS):
+                batch = whole.slice(start, PACK_ROWS)
                 node, f1, f2 = _columns(batch)
                 for kind in (HOME, VISITOR):
                     out: list[tuple[int, int, bytes]] = []
@@ -305,7 +306,7 @@ def near_links(classes: DataFrame, covering: Covering | None = None, threshold_b
     """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
     rows = classes.count() if rows is None else rows
     covering = covering or covering_for(rows)
-    cells = max(24, min(1 << 14, -(-rows * len(covering.words()) // CELL_ROWS)))
+    cells = max(256, min(1 << 14, -(-rows * len(covering.words()) // CELL_ROWS)))
     nodes = classes.select("node", "f1", "f2")
     # A row for each cell at most (16,384): small by construction, so it may be broadcast.
     loads = nodes.mapInArrow(_loads(covering, cells), "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
@@ -350,15 +351,15 @@ def digests(docs: DataFrame) -> DataFrame:
 # save the work of verifying pairs that are far apart.
 
 COPY_WORDS = 5
-#: Bits of 128 that candidates may differ in: at a similarity of 0.8 the mean is 19 and the standard deviation 4. Sets of
+#: Bits of 128 that candidates may differ in: at a similarity of 0.8 the mean is 19 and the standard deviation 4, so five of them more. Sets of
 #: fewer than ``SMALL_SET`` shingles are never told apart by bits.
-COPY_BITS, SMALL_SET = 44, 32
+COPY_BITS, SMALL_SET = 40, 32
 #: Replicas that a cell is meant to hold, and the share of texts from which a shingle is frequent: at most ``FREQUENT``
 #: times the mean size of a set are.
 COPY_CELL, FREQUENT = 50_000, 256
 #: Bits of the filter that keeps texts without candidates from being shuffled (1 MB; when full it only lets all pass).
 FILTER_BITS = 1 << 23
-COPY = np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), ("home", "u1")])
+COPY = np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), ("place", "<u4")])
 LABELLED = np.dtype([*COPY.descr, ("label", "<i8")])
 
 
@@ -435,8 +436,7 @@ def _copy_replicas(cells: int, dtype: np.dtype):
                 rows = np.empty(len(index), dtype)
                 rows["anchor"], rows["size"], rows["node"] = token & np.uint64(0xFFFFFFFF), size[index], node[index]
                 rows["f1"], rows["f2"] = f1.view(np.uint64)[index], f2.view(np.uint64)[index]
-                place = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                rows["home"] = place < home_prefix(size.astype(np.int64))[index]
+                rows["place"] = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 if "label" in dtype.names:
                     rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
                 cell = (token >> np.uint64(33)).astype(np.int64) % cells
@@ -451,7 +451,7 @@ def _copy_replicas(cells: int, dtype: np.dtype):
 
 def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of the smaller set, row of the larger set, bits apart) of the candidates at the same anchor."""
-    home = np.flatnonzero(rows["home"])
+    home = np.flatnonzero(rows["place"] < home_prefix(rows["size"].astype(np.int64)))
     home = home[np.argsort(rows["anchor"][home], kind="stable")]
     anchors = rows["anchor"][home]
     lo, hi = np.searchsorted(anchors, rows["anchor"]), np.searchsorted(anchors, rows["anchor"], side="right")
@@ -466,6 +466,8 @@ def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         h = home[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         small, large = rows["size"][h].astype(np.int64), rows["size"][v].astype(np.int64)
         keep = (small <= large) & (5 * small >= 4 * large) & (rows["node"][h] != rows["node"][v])
+        # At the first shingle that both hold, what is left of either set must suffice for 8/9 of their mean size.
+        keep &= 9 * np.minimum(small - rows["place"][h], large - rows["place"][v]) >= 4 * (small + large)
         if "label" in rows.dtype.names:
             keep &= rows["label"][h] != rows["label"][v]
         h, v = h[keep], v[keep]
@@ -512,7 +514,7 @@ def _copy_pairs(dtype: np.dtype):
 def _candidates(nodes: DataFrame, replicas: int) -> DataFrame:
     """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, tokens and, where known, label)."""
     dtype = LABELLED if "label" in nodes.columns else COPY
-    cells = max(24, min(1 << 20, -(-replicas // COPY_CELL)))
+    cells = max(512, min(1 << 20, -(-replicas // COPY_CELL)))
     packs = nodes.mapInArrow(_copy_replicas(cells, dtype), "cell int, pack binary")
     return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(dtype), "a long, b long").distinct()
 
