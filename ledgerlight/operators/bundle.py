@@ -3,40 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tree import leaves
+
 #: Characters that a bundle holds at most.
 BUDGET = 500_000
 
 
 def _greedy(budget: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, stopped = budget, None
+        left = budget
         for frame in frames:
-            keep = []
-            for doc, size in zip(frame["doc_id"], frame["n_chars"]):
-                if doc == stopped or size > left:
-                    stopped = doc  # the rest of this text is left out; the next text goes on with what is left
-                    keep.append(False)
-                else:
-                    left -= size
-                    keep.append(True)
-            yield frame[keep]
+            kept = []
+            for sizes in frame["sizes"]:
+                # The first leaf that doesn't fit ends its text; the next text goes on with what is left.
+                fits = next((i for i, total in enumerate(accumulate(sizes)) if total > left), len(sizes))
+                left -= int(sum(sizes[:fits]))
+                kept.append(fits)
+            yield frame[["source", "doc_id"]].assign(kept=kept)
 
     return run
 
 
-def evidence_bundle(nodes: DataFrame, sources: DataFrame, budget: int = BUDGET) -> DataFrame:
+def evidence_bundle(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """source, doc_id, document_order and n_chars of the leaves that fit, texts in the order of their sources.
 
-    The budget is one for the bundle and what a text takes depends on all before, so the fold is in one
-    partition. It holds current texts alone (one for each source), and only their sizes.
+    Trees and sizes are made in parallel. The budget is one for the bundle and what a text takes depends on all
+    before, so a row of sizes for each text, and nothing else, meets in one partition.
     """
-    parents = nodes.select("doc_id", F.col("parent_order").alias("document_order")).filter("document_order IS NOT NULL")
-    leaves = nodes.join(parents, ["doc_id", "document_order"], "left_anti").join(sources, "doc_id")
-    sized = leaves.select("source", "doc_id", "document_order", (F.col("char_end") - F.col("char_start")).cast("long").alias("n_chars"))
-    ordered = sized.coalesce(1).sortWithinPartitions("source", "doc_id", "document_order")
-    return ordered.mapInPandas(_greedy(budget), sized.schema)
+    sized = leaves(docs).join(docs.select("doc_id", "source"), "doc_id")
+    sizes = sized.select("source", "doc_id", F.transform("leaves", lambda x: x["size"].cast("long")).alias("sizes"))
+    kept = sizes.repartition(1).sortWithinPartitions("source", "doc_id").mapInPandas(_greedy(budget), "source string, doc_id long, kept int")
+    chosen = sized.join(kept.select("doc_id", "kept"), "doc_id").select("source", "doc_id", F.explode(F.slice("leaves", F.lit(1), F.col("kept"))).alias("x"))
+    return chosen.select("source", "doc_id", "x.document_order", F.col("x.size").cast("long").alias("n_chars"))

@@ -61,12 +61,17 @@ def _target(text: str, at: int) -> tuple[str, int] | None:
 def links(text: str) -> list[str]:
     """The targets of inline links in order; escaped brackets, fenced blocks and images' marks aside."""
     text, found = outside_fences(text), []
-    for m in re.finditer(r"\\.|\]\(", text, re.S):
-        if m[0] != "](":
+    opened = 0
+    for m in re.finditer(r"\\.|\]\(|[\[\]]", text, re.S):
+        if m[0] == "[":
+            opened += 1
+            continue
+        was, opened = opened, max(0, opened - (m[0] in ("]", "](")))
+        if m[0] != "](" or not was:
             continue
         start = m.end() + len(re.match(r"[ \t]*", text[m.end() : m.end() + 64])[0])
         hit = _target(text, start)
-        if hit and re.match(r"\s*(?:\"[^\"]*\"|'[^']*')?\s*\)", text[hit[1] : hit[1] + LONGEST_TARGET]):
+        if hit and re.match(r"\s*(?:\"[^\"]*\"|'[^']*'|\([^()]*\))?\s*\)", text[hit[1] : hit[1] + LONGEST_TARGET]):
             found.append(hit[0])
     return found
 

@@ -1,12 +1,12 @@
 """Document tree of plain and Markdown texts: headings, sections, paragraphs and their locators.
 
-Headings are folded out of a text's lines inside the row. Section ends and parents are windows over a
-document's headings, which are few; paragraphs come from the regions between headings.
+Everything happens inside the row: headings are folded out of a text's lines, section ends and parents come
+from the array of headings, paragraphs from the regions between headings. No text is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,21 +49,31 @@ def plain_headings(lines: Column) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 
+def sections(heads: Column, size: Column) -> Column:
+    """Headings with their number (from 1), their section's end, their parent's number and their own body's end."""
+
+    def section(h: Column, i: Column) -> Column:
+        ends = F.filter(F.slice(heads, i + 2, F.size(heads)), lambda x: x["level"] <= h["level"])
+        above = F.transform(F.slice(heads, F.lit(1), i), lambda x, j: F.when(x["level"] < h["level"], j + 1))
+        section_end = F.coalesce(F.get(ends, F.lit(0))["start"], size)
+        return F.struct(
+            (i + 1).alias("number"), h["start"].alias("start"), h["end"].alias("end"), h["level"].alias("level"), h["title"].alias("title"), section_end.alias("section_end"),
+            F.coalesce(F.array_max(above), F.lit(0)).alias("parent"), F.coalesce(F.get(heads, i + 1)["start"], section_end).alias("body_end"),
+        )
+
+    return F.transform(heads, section)
+
+
+def with_sections(docs: DataFrame) -> DataFrame:
+    """Adds heads, the sections of every text, by one pass inside the row."""
+    lines = docs.withColumn("lines", text_lines(F.col("text")))
+    found = lines.withColumn("plain", plain_headings(F.col("lines"))).drop("lines")
+    return found.withColumn("heads", sections(F.col("plain"), F.length("text"))).drop("plain")
+
+
 def headings(docs: DataFrame) -> DataFrame:
-    """doc_id, number (from 1), start, end, level and title of every heading, with its section's end and its parent's number."""
-    lines = docs.select("doc_id", F.length("text").alias("size"), text_lines(F.col("text")).alias("lines"))
-    found = lines.select("doc_id", "size", F.posexplode(plain_headings(F.col("lines"))).alias("i", "h"))
-    found = found.select("doc_id", "size", (F.col("i") + 1).alias("number"), "h.*")
-    after = Window.partitionBy("doc_id").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
-    before = Window.partitionBy("doc_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    own = lambda pick: F.coalesce(*[F.when(F.col("level") == n, pick(n)) for n in LEVELS])
-    section_end = own(lambda n: F.min(F.when(F.col("level") <= n, F.col("start"))).over(after))
-    parent = own(lambda n: F.max(F.when(F.col("level") < n, F.col("number"))).over(before))
-    body_end = F.lead("start").over(Window.partitionBy("doc_id").orderBy("number"))
-    return found.select(
-        "doc_id", "number", "start", "end", "level", "title", F.coalesce(section_end, F.col("size")).alias("section_end"),
-        F.coalesce(parent, F.lit(0)).alias("parent"), F.coalesce(body_end, section_end, F.col("size")).alias("body_end"),
-    )
+    """doc_id, number, start, end, level and title of every heading, with its section's end, its parent and its body's end."""
+    return with_sections(docs.select("doc_id", "text")).select("doc_id", F.inline("heads"))
 
 
 def _paragraphs(region: Column, offset: Column) -> Column:
@@ -84,36 +94,51 @@ def _paragraphs(region: Column, offset: Column) -> Column:
     return F.aggregate(cells, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """The nodes of every text that isn't empty: the root, its headings in order, then all paragraphs.
+def node_arrays(docs: DataFrame) -> DataFrame:
+    """doc_id and the nodes of every text that isn't empty, in order, made inside the row: nothing is shuffled.
 
-    Text before the first heading has no paragraph. A node's id follows from its locator, heading and
-    content; a paragraph's also from its order, so that it never equals the root's.
+    The root comes first, then the headings, then all paragraphs. Text before the first heading has no
+    paragraph. A node's id follows from its locator, heading and content; a paragraph's also from its
+    order, so that it never equals the root's.
     """
     texts = docs.select("doc_id", T.text_of("text").alias("text")).filter("text <> ''")
-    heads = headings(texts)
-    per_doc = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", "start", "end", "level", "title", "section_end", "parent", "body_end"))).alias("heads"))
-    joined = texts.join(per_doc, "doc_id", "left").withColumn("heads", F.coalesce("heads", F.array().cast(per_doc.schema["heads"].dataType)))
+    df, text = with_sections(texts), F.col("text")
     root = F.array(F.struct(F.lit("Document").alias("heading"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("kind")))
-    sections = F.transform("heads", lambda h: F.struct(h["title"].alias("heading"), h["level"].alias("depth"), h["parent"].alias("parent"), h["start"].alias("start"), h["section_end"].alias("end"), F.lit(1).alias("kind")))
+    heads = F.transform("heads", lambda h: F.struct(h["title"].alias("heading"), h["level"].alias("depth"), h["parent"].alias("parent"), h["start"].alias("start"), h["section_end"].alias("end"), F.lit(1).alias("kind")))
     one = F.array(F.struct(F.lit(0).alias("number"), F.lit(0).alias("end"), F.lit(0).alias("level"), F.length("text").alias("body_end")))
     regions = F.when(F.size("heads") == 0, one).otherwise(F.transform("heads", lambda h: F.struct(h["number"].alias("number"), h["end"].alias("end"), h["level"].alias("level"), h["body_end"].alias("body_end"))))
-    text = F.col("text")
     paragraphs = F.flatten(F.transform(regions, lambda r: F.transform(_paragraphs(T.piece(text, r["end"], r["body_end"]), r["end"]), lambda p: F.struct(
         _label(T.piece(text, p["start"], p["end"])).alias("heading"), (r["level"] + 1).alias("depth"), r["number"].alias("parent"), p["start"].alias("start"), p["end"].alias("end"), F.lit(2).alias("kind"),
     ))))
-    all_ = joined.select("doc_id", "text", F.posexplode(F.concat(root, sections, paragraphs)).alias("document_order", "n"))
-    content = T.piece(text, F.col("n.start"), F.col("n.end"))
-    out = all_.select(
-        "doc_id", "document_order", "n.heading", "n.depth", F.col("n.parent").alias("parent_order"), F.col("n.start").alias("char_start"), F.col("n.end").alias("char_end"),
-        T.line_at(text, F.col("n.start")).alias("line_start"), T.line_at(text, F.greatest(F.col("n.start"), F.col("n.end") - 1)).alias("line_end"),
-        T.digest(content).alias("content_digest"), F.greatest(F.lit(1), F.size(T.tokens(content))).alias("token_estimate"), F.col("n.kind").alias("kind"),
-    )
+    return df.select("doc_id", "text", F.concat(root, heads, paragraphs).alias("nodes"))
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """The nodes of ``node_arrays`` as rows, with their locators, digests and ids."""
+    text = F.col("text")
+
+    def whole(n: Column, i: Column) -> Column:
+        content = T.piece(text, n["start"], n["end"])
+        return F.struct(
+            i.alias("document_order"), n["heading"].alias("heading"), n["depth"].alias("depth"), n["parent"].alias("parent_order"), n["start"].alias("char_start"), n["end"].alias("char_end"),
+            T.line_at(text, n["start"]).alias("line_start"), T.line_at(text, F.greatest(n["start"], n["end"] - 1)).alias("line_end"),
+            T.digest(content).alias("content_digest"), F.greatest(F.lit(1), F.size(T.tokens(content))).alias("token_estimate"), n["kind"].alias("kind"),
+        )
+
+    out = node_arrays(docs).select("doc_id", F.inline(F.transform("nodes", whole)))
     salt = F.when(F.col("kind") == 2, F.col("document_order").cast("string")).otherwise("")
     name = F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("char_start").cast("string"), F.col("char_end").cast("string"), "heading", "content_digest", salt)
     return out.withColumn("node_id", T.uuid5(name)).drop("kind")
 
 
+def leaves(docs: DataFrame) -> DataFrame:
+    """doc_id and an array of (document_order, heading, size) of the nodes without children."""
+    without = F.array_except(F.sequence(F.lit(0), F.size("nodes") - 1), F.transform("nodes", lambda n: n["parent"]))
+    node = lambda i: F.get("nodes", i)
+    leaf = lambda i: F.struct(i.alias("document_order"), node(i)["heading"].alias("heading"), (node(i)["end"] - node(i)["start"]).alias("size"))
+    return node_arrays(docs).select("doc_id", F.transform(without, leaf).alias("leaves"))
+
+
 def _label(body: Column) -> Column:
     first = T.collapse(body)
     return F.concat(F.substring(first, 1, 72), F.when(F.length(first) > 72, "…").otherwise(""))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
-from ..sources.tables import claims, evidence, revisions, statuses, table
+from ..sources.tables import anchored, claims, evidence, revisions, statuses, table
 from .registry import query
 
 
@@ -286,31 +286,38 @@ def blend_topk(spark, sf_dir):
     return best.select("item_id", F.round("semantic", 6).alias("semantic_score"), F.round("rank_raw", 6).alias("rank_score"))
 
 
-_QUOTE = "substr(body, char_start + 1, ((char_end - char_start) * (1 + doc_id % 4)) // 4)"
-_SUPPORT = f"len(list_intersect(list_distinct({_TOKENS.format('claim_text')}), {_TOKENS.format(_QUOTE)})) / len(list_distinct({_TOKENS.format('claim_text')}))::DOUBLE"
+_NEAR = (
+    "cw AS (SELECT item_id AS claim_id, text AS claim_text, string_split_regex(text, '\\s+') AS w FROM benchmark WHERE text <> ''), dw AS (SELECT doc_id, text AS body, string_split_regex(coalesce(text, ''), '\\s+') AS w FROM documents),"
+    " near AS (SELECT claim_id, claim_text, doc_id, body FROM (SELECT DISTINCT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS d FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM dw)) g"
+    " JOIN cw ON len(cw.w) >= 6 AND g.a = cw.w[2] AND g.b = cw.w[3] AND g.c = cw.w[4] AND g.d = cw.w[5] JOIN dw USING (doc_id) UNION SELECT claim_id, claim_text, doc_id, body FROM ev)"
+)
+_SUPPORT = f"len(list_intersect(list_distinct({_TOKENS.format('claim_text')}), {_TOKENS.format('body')})) / len(list_distinct({_TOKENS.format('claim_text')}))::DOUBLE"
 
 
 def _supported(spark, sf_dir) -> DataFrame:
-    """Evidence whose quote is a part of the claim, of a length that follows from doc_id."""
-    e = _evidence(spark, sf_dir)
-    part = F.floor((F.col("char_end") - F.col("char_start")) * (1 + F.col("doc_id") % 4) / 4).cast("int")
-    return e.withColumn("raw", search.support(F.col("claim_text"), F.substring("quote", F.lit(1), part)))
+    """How far the whole text of each document that holds a claim, or shares its anchor of words, covers the claim's words."""
+    docs = _docs(spark, sf_dir).select("doc_id", T.text_of("text").alias("text"))
+    known = claims(table(spark, sf_dir, "benchmark"))
+    near = anchored(docs, known).join(docs, "doc_id")
+    whole = F.size(F.split("claim_text", r"\s+")) >= 6
+    met = near.filter(whole | F.contains("text", F.col("claim_text"))).dropDuplicates(["claim_id", "doc_id"])
+    return met.select("claim_id", "doc_id", search.support(F.col("claim_text"), F.col("text")).alias("raw"))
 
 
-@query(f"SELECT claim_id, doc_id, round(raw, 6) AS support, raw >= {search.SUPPORT} AS supported FROM (SELECT claim_id, doc_id, {_SUPPORT} AS raw FROM ev)", "ev")
+@query(f"{_NEAR} SELECT claim_id, doc_id, round(raw, 6) AS support, raw >= {search.SUPPORT} AS supported FROM (SELECT claim_id, doc_id, {_SUPPORT} AS raw FROM near)", "ev")
 def citation_support(spark, sf_dir):
     return _supported(spark, sf_dir).select("claim_id", "doc_id", F.round("raw", 6).alias("support"), (F.col("raw") >= search.SUPPORT).alias("supported"))
 
 
 @query(
-    f"SELECT claim_id, round(max(raw), 6) AS support, max(raw) >= {search.SUPPORT} AS supported, string_agg(doc_id, ',' ORDER BY doc_id) AS evidence"
-    f" FROM (SELECT claim_id, doc_id, {_SUPPORT} AS raw FROM ev) GROUP BY claim_id",
+    f"{_NEAR} SELECT claim_id, round(max(raw), 6) AS support, max(raw) >= {search.SUPPORT} AS supported, arg_max(doc_id, (raw, -doc_id)) AS best_doc, count(*)::BIGINT AS n_documents"
+    f" FROM (SELECT claim_id, doc_id, {_SUPPORT} AS raw FROM near) GROUP BY claim_id",
     "ev",
 )
 def claim_support(spark, sf_dir):
-    """A claim's support is its best evidence's; the evidence list is in order."""
-    g = _supported(spark, sf_dir).groupBy("claim_id").agg(F.max("raw").alias("raw"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return g.select("claim_id", F.round("raw", 6).alias("support"), (F.col("raw") >= search.SUPPORT).alias("supported"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("evidence"))
+    """A claim's support is its best document's, the smallest of equal ones."""
+    g = _supported(spark, sf_dir).groupBy("claim_id").agg(F.max("raw").alias("raw"), F.max_by("doc_id", F.struct("raw", -F.col("doc_id"))).alias("best_doc"), F.count("*").alias("n_documents"))
+    return g.select("claim_id", F.round("raw", 6).alias("support"), (F.col("raw") >= search.SUPPORT).alias("supported"), "best_doc", "n_documents")
 
 
 @query(

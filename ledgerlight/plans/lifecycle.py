@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import claims, evidence, statuses, table
+from ..sources.tables import claims, evidence, revisions, statuses, table
 from ..streaming.folds import fold_to_table
 from .registry import query
 from .structure import _MEMORY, _memory_items
@@ -47,12 +47,11 @@ def duplicate_claims(spark, sf_dir):
     return g.filter("n_reused > 0")
 
 
-@query("SELECT conv_id, least(count(*), 3)::BIGINT AS n_kept, greatest(count(*) - 3, 0)::BIGINT AS n_capped FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INT AS n, n <= 3 AS kept FROM conversations")
 def section_cap(spark, sf_dir):
-    """The first three turns of a conversation are kept, the rest is logged: the cap is the feature."""
+    """The first three turns of a conversation are kept, the others logged as capped: the cap is the feature."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))
-    ranked = table(spark, sf_dir, "conversations").select("conv_id", n.alias("n"))
-    return ranked.groupBy("conv_id").agg(F.count_if(F.col("n") <= 3).alias("n_kept"), F.count_if(F.col("n") > 3).alias("n_capped"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", n.alias("n"), (n <= 3).alias("kept"))
 
 
 @query("SELECT conv_id, turn, printf('T%04d', row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)) AS item_id FROM conversations")
@@ -62,30 +61,31 @@ def stable_ids(spark, sf_dir):
 
 
 @query(
-    f"WITH {_MEMORY}, a AS (SELECT DISTINCT section, body FROM m WHERE conv_id % 2 = 0), b AS (SELECT DISTINCT section, body FROM m WHERE conv_id % 3 = 0)"
+    f"WITH {_MEMORY}, k AS (SELECT m.*, turn * 2 < n AS early FROM m JOIN (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id) USING (conv_id)), a AS (SELECT DISTINCT section, body FROM k WHERE early), b AS (SELECT DISTINCT section, body FROM k WHERE NOT early)"
     " SELECT section, count_if(kind = 'added')::BIGINT AS n_added, count_if(kind = 'removed')::BIGINT AS n_removed FROM (SELECT 'added' AS kind, section FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"
     " UNION ALL SELECT 'removed', section FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY section"
 )
 def memory_diff(spark, sf_dir):
-    """What two memories, of every second and of every third conversation, have that the other lacks."""
-    items = _memory_items(spark, sf_dir)
-    of = lambda k: items.filter(F.col("conv_id") % k == 0).select("section", "body").distinct()
-    a, b = of(2), of(3)
-    both = b.join(a, ["section", "body"], "left_anti").withColumn("kind", F.lit("added")).union(a.join(b, ["section", "body"], "left_anti").withColumn("kind", F.lit("removed")))
-    return both.groupBy("section").agg(F.count_if(F.col("kind") == "added").alias("n_added"), F.count_if(F.col("kind") == "removed").alias("n_removed"))
+    """What the memory of the later halves of all conversations adds to that of the earlier halves, and what it lacks."""
+    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
+    items = _memory_items(spark, sf_dir).join(n, "conv_id").select("section", "body", (F.col("turn") * 2 < F.col("n")).alias("early"))
+    # One row an entry says in which of the two memories it is.
+    held = items.groupBy("section", "body").agg(F.bool_or("early").alias("before"), F.bool_or(~F.col("early")).alias("after")).filter("before <> after")
+    return held.groupBy("section").agg(F.count_if("after").alias("n_added"), F.count_if("before").alias("n_removed"))
 
 
 @query(
-    "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.digest, o.digest) AS digest, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'keep' ELSE 'update' END AS action"
-    " FROM (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id, sha256(text || ' ') AS digest FROM documents WHERE doc_id % 3 = 0) n ON o.doc_id = n.doc_id"
+    "SELECT coalesce(o.source, n.source) AS source, coalesce(n.digest, o.digest) AS digest, CASE WHEN o.source IS NULL THEN 'insert' WHEN n.source IS NULL THEN 'keep' ELSE 'update' END AS action"
+    " FROM (SELECT source, arg_max(digest, latest) AS digest FROM cur WHERE NOT is_current GROUP BY source) o FULL JOIN (SELECT source, digest FROM cur WHERE is_current) n USING (source)",
+    "rev cur",
 )
 def render_state_upsert(spark, sf_dir):
-    """An upsert as a full outer join: the new digest wins where there is one."""
-    docs = _docs(spark, sf_dir)
-    old = docs.filter("doc_id % 2 = 0").select("doc_id", T.digest(F.col("text")).alias("old"))
-    new = docs.filter("doc_id % 3 = 0").select("doc_id", T.digest(F.concat("text", F.lit(" "))).alias("new"))
+    """The pages of all sources: those of the revision before, upserted with those of the current one by a full join."""
+    r = revisions(_docs(spark, sf_dir))
+    old = r.filter("NOT is_current").groupBy("source").agg(F.max_by("digest", "arrival").alias("old"))
+    new = r.filter("is_current").select("source", F.col("digest").alias("new"))
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "keep").otherwise("update")
-    return old.join(new, "doc_id", "full").select("doc_id", F.coalesce("new", "old").alias("digest"), action.alias("action"))
+    return old.join(new, "source", "full").select("source", F.coalesce("new", "old").alias("digest"), action.alias("action"))
 
 
 @query(

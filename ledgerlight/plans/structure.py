@@ -70,22 +70,22 @@ def tree_nodes(spark, sf_dir):
 
 @query(f"{_NODES} SELECT doc_id, document_order::INT AS document_order, heading FROM o WHERE NOT EXISTS (SELECT 1 FROM o c WHERE c.doc_id = o.doc_id AND c.parent_order = o.document_order)")
 def tree_leaves(spark, sf_dir):
-    n = tree.nodes(_docs(spark, sf_dir)).select("doc_id", "document_order", "heading", "parent_order")
-    parents = n.select("doc_id", F.col("parent_order").alias("document_order")).filter("document_order IS NOT NULL")
-    return n.join(parents, ["doc_id", "document_order"], "left_anti").select("doc_id", "document_order", "heading")
+    return tree.leaves(_docs(spark, sf_dir)).select("doc_id", F.inline("leaves")).select("doc_id", "document_order", "heading")
 
 
 @query(
-    f"{_NODES} SELECT doc_id, document_order::INT AS document_order, score::BIGINT AS score FROM (SELECT doc_id, document_order, len([x FOR x IN {_TOKENS.format('heading')} || {_TOKENS.format('content')}"
-    " IF x IN ('the', 'and')]) AS score FROM o) WHERE score > 0 ORDER BY score DESC, doc_id, document_order LIMIT 20"
+    f"{_NODES.rstrip()}, rev AS (SELECT source, text, min(doc_id) AS arrival, max(doc_id) AS latest FROM documents GROUP BY 1, 2), cur AS (SELECT arrival FROM rev QUALIFY latest = max(latest) OVER (PARTITION BY source))"
+    f" SELECT doc_id, document_order::INT AS document_order, score::BIGINT AS score FROM (SELECT doc_id, document_order, len([x FOR x IN {_TOKENS.format('heading')} || {_TOKENS.format('content')}"
+    " IF x IN ('the', 'and')]) AS score FROM o WHERE doc_id IN (SELECT arrival FROM cur)) WHERE score > 0 ORDER BY score DESC, doc_id, document_order LIMIT 20"
 )
 def search_nodes(spark, sf_dir):
     """The twenty nodes of current texts that hold the question's words most often."""
     docs = _docs(spark, sf_dir)
-    n = tree.nodes(docs).join(docs.select("doc_id", "text"), "doc_id")
-    words = F.concat(T.tokens(F.col("heading")), T.tokens(T.piece(F.col("text"), F.col("char_start"), F.col("char_end"))))
-    score = F.size(F.filter(words, lambda x: x.isin("the", "and"))).cast("long")
-    return n.select("doc_id", "document_order", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id", "document_order").limit(20)
+    current = revisions(docs).filter("is_current").select(F.col("arrival").alias("doc_id"))
+    rows = tree.node_arrays(docs.join(current, "doc_id", "left_semi"))
+    words = lambda n: F.concat(T.tokens(n["heading"]), T.tokens(T.piece(F.col("text"), n["start"], n["end"])))
+    score = lambda n, i: F.struct(i.alias("document_order"), F.size(F.filter(words(n), lambda x: x.isin("the", "and"))).cast("long").alias("score"))
+    return rows.select("doc_id", F.inline(F.transform("nodes", score))).filter("score > 0").orderBy(F.desc("score"), "doc_id", "document_order").limit(20)
 
 
 @query(
@@ -316,8 +316,7 @@ def dump_ordered(spark, sf_dir):
 def evidence_bundle_budget(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     current = revisions(docs).filter("is_current").select(F.col("arrival").alias("doc_id"))
-    leaves = tree.nodes(docs.join(current, "doc_id", "left_semi"))
-    return evidence_bundle(leaves, docs.select("doc_id", "source"))
+    return evidence_bundle(docs.join(current, "doc_id", "left_semi"))
 
 
 @query()

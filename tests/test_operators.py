@@ -34,10 +34,9 @@ def test_redaction_terms():
 
 def test_redaction_is_linear():
     began = time.time()
-    for unit in ("a-", "key.", "a.", "<system-reminder "):
-        line = unit * 50_000
-        redaction.residual_of(redaction.redact_text(line))
-    assert time.time() - began < 60
+    for unit, n in (("a-", 100_000), ("key.", 50_000), ("a.", 100_000), ("a", 200_000)):
+        redaction.residual_of(redaction.redact_text(unit * n))
+    assert time.time() - began < 5
 
 
 def test_redact_rows(spark):
@@ -52,7 +51,7 @@ def test_findings(spark):
 
 
 def test_key_strength(spark):
-    keys = {"DB_PASSWORD": "strong", "client-secret": "weak", "apiKey": "weak", "tokenizer": None, "monkey": None, "TOKEN_URL": None, "publicKeyToken": None, "--token-bg": None, "name": None}
+    keys = {"DB_PASSWORD": "strong", "client-secret": "weak", "apiKey": "weak", "tokenizer": None, "monkey": None, "TOKEN_URL": None, "publicKeyToken": None, "--token-bg": None, "name": None, "primaryKey": None, "cache_key": None, "APP_KEY": "weak", "key": "weak"}
     rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", detection.key_strength(F.col("k")).alias("s")).collect()
     assert {r.k: r.s for r in rows} == keys
 
@@ -87,7 +86,7 @@ def test_tree(spark):
 def test_bundle_budget(spark):
     text = "ONE HEAD\n" + "x" * 30 + "\n\n" + "y" * 10 + "\n\n" + "z" * 5
     docs = spark.createDataFrame([(1, text, "a"), (2, "short", "b")], "doc_id long, text string, source string")
-    rows = bundle.evidence_bundle(tree.nodes(docs), docs.select("doc_id", "source"), budget=37).collect()
+    rows = bundle.evidence_bundle(docs, budget=37).collect()
     assert [(r.doc_id, r.n_chars) for r in rows] == [(1, 30), (2, 5)]  # the first text stops at 10, the next goes on with what is left
 
 
@@ -104,7 +103,7 @@ def test_evidence(spark):
 def test_revisions(spark):
     docs = spark.createDataFrame([(1, "a", "s"), (2, "b", "s"), (3, "a", "s"), (4, None, "t"), (5, "a", "t")], "doc_id long, text string, source string")
     rows = {(r.source, r.arrival): (r.copies, r.is_current) for r in tables.revisions(docs).collect()}
-    assert rows == {("s", 1): (2, False), ("s", 2): (1, True), ("t", 4): (1, False), ("t", 5): (1, True)}
+    assert rows == {("s", 1): (2, True), ("s", 2): (1, False), ("t", 4): (1, False), ("t", 5): (1, True)}  # "a" came again
 
 
 def test_bm25_without_terms(spark):
@@ -122,7 +121,6 @@ def test_stems():
 def test_needles_spare_no_match():
     from ledgerlight.operators import redaction as R
 
-    assert set(R.NEEDLES) == {label for label, _, _ in R.SHAPES}
     shapes = {
         "AWS access key id": "AKIA" + "A1" * 8, "GitHub token": "ghs_" + "a1" * 20, "Slack token": "xoxb-" + "a1" * 8, "Google API key": "AIza" + "a" * 35,
         "OpenAI key": "sk-" + "a1" * 12, "JWT": ".".join(["eyJ" + "a1" * 8] * 2 + ["b2" * 8]), "Credentialed URL": "ftp://a:b@host",
