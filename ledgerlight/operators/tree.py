@@ -131,12 +131,20 @@ def nodes(docs: DataFrame) -> DataFrame:
     return out.withColumn("node_id", T.uuid5(name)).drop("kind")
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """doc_id and an array of (document_order, heading, size) of the nodes without children."""
+def _leaves() -> Column:
     without = F.array_except(F.sequence(F.lit(0), F.size("nodes") - 1), F.transform("nodes", lambda n: n["parent"]))
     node = lambda i: F.get("nodes", i)
-    leaf = lambda i: F.struct(i.alias("document_order"), node(i)["heading"].alias("heading"), (node(i)["end"] - node(i)["start"]).alias("size"))
-    return node_arrays(docs).select("doc_id", F.transform(without, leaf).alias("leaves"))
+    return F.transform(without, lambda i: F.struct(i.alias("document_order"), node(i)["heading"].alias("heading"), (node(i)["end"] - node(i)["start"]).alias("size")))
+
+
+def leaves(docs: DataFrame) -> DataFrame:
+    """doc_id and an array of (document_order, heading, size) of the nodes without children."""
+    return node_arrays(docs).select("doc_id", _leaves().alias("leaves"))
+
+
+def leaf_rows(docs: DataFrame) -> DataFrame:
+    """The same as rows; taken out of an expression, as a filter on a column's size would be moved below and make it again."""
+    return node_arrays(docs).select("doc_id", F.inline(_leaves()))
 
 
 def _label(body: Column) -> Column:

@@ -70,7 +70,7 @@ def tree_nodes(spark, sf_dir):
 
 @query(f"{_NODES} SELECT doc_id, document_order::INT AS document_order, heading FROM o WHERE NOT EXISTS (SELECT 1 FROM o c WHERE c.doc_id = o.doc_id AND c.parent_order = o.document_order)")
 def tree_leaves(spark, sf_dir):
-    return tree.leaves(_docs(spark, sf_dir)).select("doc_id", F.inline("leaves")).select("doc_id", "document_order", "heading")
+    return tree.leaf_rows(_docs(spark, sf_dir)).select("doc_id", "document_order", "heading")
 
 
 @query(
