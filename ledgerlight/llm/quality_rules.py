@@ -112,9 +112,9 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that the base rule and the table keep, with the columns of ``docs``."""
     n = _names(docs.columns)
     df = _add_counts(docs, text_or_empty("text"), n)
-    # A filter moves below the projections it reads and repeats their expressions there, nested ones many times
-    # over. A term that isn't a function of the row (floor of rand() is always 0) keeps it in place.
+    # A filter would move below the projections it reads and repeat their expressions there, nested ones many times
+    # over. So the verdict makes one row or none: what is taken out of an expression stays where it is.
     verdict = fresh_name(docs.columns, "_quality_verdict")
-    good = ~base_failed(n) & passes(rules, n)
-    df = df.withColumn(verdict, F.when(good, 1).otherwise(0) + F.floor(F.rand(0)))
-    return df.filter(F.col(verdict) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = F.when(~base_failed(n) & passes(rules, n), F.array(F.lit(1)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return df.select(*columns, F.explode(one).alias(verdict)).select(*columns)
