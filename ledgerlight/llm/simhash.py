@@ -552,15 +552,20 @@ def _unpacked(pack: bytes) -> np.ndarray:
     return sum(five[i].astype(np.uint64) << np.uint64(8 * i) for i in range(5))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of both ends of the pairs; each end is reduced before it is shuffled."""
+    return stored(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "copy-ends")
+
+
+def _verified(pairs: DataFrame, ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar; ``ends`` are their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [are_copies(_unpacked(x.as_py()), _unpacked(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = _sets_of(texts, ends)
     of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
@@ -587,16 +592,16 @@ def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     nodes = stored(all_.join(classes.select("node").distinct(), "node", "left_semi"), "copy-nodes")
     replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
     first = stored(_candidates(nodes, replicas), "copy-candidates")
-    links = stored(_verified(first, texts), "copy-links")
+    met = _ends(first)
+    links = stored(_verified(first, met, texts), "copy-links")
     found = components(links)
-    met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    open_ = nodes.join(met, "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    open_ = nodes.join(met.select(F.col("id").alias("node")), "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas).join(first, ["a", "b"], "left_anti"), "copy-candidates")
     # Rows that share a doc_id join the classes they are in.
     own = keys.join(classes, "key").filter("doc_id <> node").select("doc_id", "node")
     repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     shared = own.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    whole = components(links.union(_verified(rest, texts)).union(shared))
+    whole = components(links.union(_verified(rest, _ends(rest), texts)).union(shared))
     roots = classes.join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return keys.join(roots, "key").filter("component_id < doc_id").select("doc_id", "component_id")
 
