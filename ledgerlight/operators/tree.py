@@ -64,16 +64,19 @@ def sections(heads: Column, size: Column) -> Column:
     return F.transform(heads, section)
 
 
+def _with_plain(docs: DataFrame) -> DataFrame:
+    lines = docs.withColumn("lines", text_lines(F.col("text")))
+    return lines.withColumn("plain", plain_headings(F.col("lines"))).drop("lines")
+
+
 def with_sections(docs: DataFrame) -> DataFrame:
     """Adds heads, the sections of every text, by one pass inside the row."""
-    lines = docs.withColumn("lines", text_lines(F.col("text")))
-    found = lines.withColumn("plain", plain_headings(F.col("lines"))).drop("lines")
-    return found.withColumn("heads", sections(F.col("plain"), F.length("text"))).drop("plain")
+    return _with_plain(docs).withColumn("heads", sections(F.col("plain"), F.length("text"))).drop("plain")
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, number, start, end, level and title of every heading, with its section's end, its parent and its body's end."""
-    return with_sections(docs.select("doc_id", "text")).select("doc_id", F.inline("heads"))
+    return _with_plain(docs.select("doc_id", "text")).select("doc_id", F.inline(sections(F.col("plain"), F.length("text"))))
 
 
 def _paragraphs(region: Column, offset: Column) -> Column:
