@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, planes, stored, text_or_empty, unplaned
+from .common import batches_of, fresh_name, planes, stored, text_or_empty, unplaned
 from .components import components
 
 #: Homes that a cell is meant to hold, and those that one task compares at most; further ones go to further tasks.
@@ -40,6 +40,8 @@ CELL_ROWS, CELL_HOMES = 40_000, 200_000
 #: Rows whose replicas are packed at once, and comparisons held at once.
 PACK_ROWS = 10_000
 CHUNK = 1 << 21
+#: Comparisons of near-dedup's candidates held at once, pairs of them held before they are reduced, and pairs verified at once.
+COMPARED, PAIRS_HELD, VERIFIED = 1 << 18, 1 << 18, 1000
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -460,7 +462,7 @@ def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     ends = np.cumsum(sizes)
     at = 0
     while at < len(met):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED)))
         n = sizes[at:stop]
         v = np.repeat(met[at:stop], n)
         h = home[np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -481,19 +483,44 @@ def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 def _copy_pairs(dtype: np.dtype):
     """Candidate pairs of each cell: all where components are known, else for each node its nearest and its smallest one."""
 
+    labelled = "label" in dtype.names
+
+    def distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        more, less = np.maximum(a, b), np.minimum(a, b)
+        o = np.lexsort((less, more))
+        return o[np.r_[True, (np.diff(more[o]) != 0) | (np.diff(less[o]) != 0)]]
+
     def some(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
         first = lambda *by: (o := np.lexsort(by))[np.r_[True, np.diff(by[-1][o]) != 0]]
-        return np.concatenate([first(b, apart, a), first(a, apart, b), first(a, b), first(b, a)])
+        return np.unique(np.concatenate([first(b, apart, a), first(a, apart, b), first(a, b), first(b, a)]))
 
     def pairs(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([unplaned(p, dtype) for p in packs])
+        held: list[tuple[np.ndarray, ...]] = []
+        new = 0
+
+        def fold() -> None:
+            """The nearest and the smallest of those that are left are those of all."""
+            columns = tuple(np.concatenate(c) for c in zip(*held))
+            at = distinct(*columns[:2]) if labelled else some(*columns)
+            held[:] = [tuple(c[at] for c in columns)]
+
+        def leave() -> pa.RecordBatch:
+            a, b, _ = held.pop()
+            at = distinct(a, b)
+            return pa.record_batch([pa.array(np.maximum(a, b)[at]), pa.array(np.minimum(a, b)[at])], ["a", "b"])
+
         for h, v, apart in near_sets(rows):
-            a, b = rows["node"][h], rows["node"][v]
-            if "label" not in dtype.names:
-                at = some(a, b, apart)
-                a, b = a[at], b[at]
-            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            held.append((rows["node"][h], rows["node"][v], apart))
+            new += len(h)
+            if new > PAIRS_HELD:
+                fold()
+                new = 0
+                if labelled and len(held[0][0]) > PAIRS_HELD:
+                    yield leave()
+        if held:
+            fold()
+            yield leave()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell."""
@@ -567,7 +594,9 @@ def _verified(pairs: DataFrame, ends: DataFrame, texts: DataFrame) -> DataFrame:
 
     sets = _sets_of(texts, ends)
     of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+    same = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+    with batches_of(texts.sparkSession, VERIFIED):  # a pair brings both its sets
+        return stored(same, "copy-links")
 
 
 def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -593,7 +622,7 @@ def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
     first = stored(_candidates(nodes, replicas), "copy-candidates")
     met = _ends(first)
-    links = stored(_verified(first, met, texts), "copy-links")
+    links = _verified(first, met, texts)
     found = components(links)
     open_ = nodes.join(met.select(F.col("id").alias("node")), "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas).join(first, ["a", "b"], "left_anti"), "copy-candidates")
