@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -539,6 +540,33 @@ def test_fuzzy_passages(spark):
     assert recall[0.9] >= 0.98 and recall[0.85] >= 0.93 and recall[0.82] >= 0.85
 
 
+def test_word_codes_and_minimizers(monkeypatch):
+    """Words of texts side by side against bytes.split, minimizers against windows taken one by one."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 64)
+    rng = random.Random(3)
+    words = ["a", "B", "bb", "Abc", "x\u00e9", "of", "\0q", "w" * 300]
+    texts = [(rng.choice([" ", "\n", "  ", "\t\x0b"]).join(rng.choices(words, k=rng.choice([0, 1, 4, 6, 9, 40, 200]))) + rng.choice(["", " "])).encode() for _ in range(200)]
+    data, at = substring_dedup.texts_of(pa.array([b"skipped", *texts], pa.binary()).slice(1))
+    starts, codes = substring_dedup.word_codes(data[at[0] : at[-1]], at[:-1] - at[0])
+    first = np.searchsorted(starts, at - at[0])
+    seen: dict[bytes, int] = {}
+    for i, text in enumerate(texts):
+        mine = codes[first[i] : first[i + 1]].tolist()
+        assert len(mine) == len(text.split()) and all(seen.setdefault(w, c) == c for w, c in zip(text.lower().split(), mine))
+    assert len(set(seen.values())) == len(seen)
+    of, place, _ = substring_dedup.minimizers(codes, first, 1, 3)
+    for i in range(len(texts)):
+        key = [int(substring_dedup.minimizers(codes[j : j + 1], np.array([0, 1]), 1, 1)[2][0]) for j in range(first[i], first[i + 1])]
+        windows = [key[j : j + 3] for j in range(max(1, len(key) - 2))] if key else []
+        assert place[of == i].tolist() == sorted({j + w.index(min(w)) for j, w in enumerate(windows)})
+
+
+def test_runs_of_equal_words_are_one():
+    assert substring_dedup.joined([(2, 2, 2, 2), (3, 3, 3, 3), (1, 1, 0, 1), (1, 1, 1, 1), (1, 2, 1, 2), (4, 4, 4, 4)]) == [
+        (5, 5, 5, 5), (1, 1, 0, 1), (1, 1, 1, 1), (1, 2, 1, 2), (4, 4, 4, 4),
+    ]
+
+
 def test_without_words():
     assert substring_dedup.without_words(b" a bb\n ccc d ", [(1, 3)]) == b" a d "
     assert substring_dedup.without_words(b"a b c", [(1, 3), (0, 1)]) == b""
