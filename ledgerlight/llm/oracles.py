@@ -79,4 +79,63 @@ WITH d AS (
 SELECT *, NOT base_failed AND {_TESTS} AS kept FROM b
 """
 
-ORACLES: dict[str, str] = {"op1_warc_index_merge": _OP1, "op3_line_dedup": _OP3, "op7_exact_topk": _OP7, "op10_quality_rules": _OP10}
+#: CRC-32 (reflected, polynomial 0xEDB88320): the table for a byte, and a checksum of a list of bytes.
+_CRC_TABLE = "crc AS (SELECT [list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) FOR x IN range(256)] AS t)"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+def _tree(name: str, base: str, key: str) -> str:
+    """Nodes (key, level, place, node) above ``base``, and runs of eight with the level above them."""
+    return f"""{name} AS (
+  SELECT {key}, 0 AS level, place, node FROM {base}
+  UNION ALL
+  SELECT {key}, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}) WHERE n > 1 GROUP BY {key}, level, place // 8
+), {name}_run AS (
+  SELECT {key}, level, place // 8 AS up, list(node ORDER BY place) AS run FROM {name}
+  WHERE level < (SELECT max(level) FROM {name} o WHERE o.{key} = {name}.{key}) GROUP BY {key}, level, place // 8
+)"""
+
+
+def _folds(name: str, base: str, tree: str, key: str) -> str:
+    """Steps up from ``base`` (key, id, place, node, proof) through the runs of ``tree``."""
+    others = "list_concat(run[:place % 8], run[place % 8 + 2:])"
+    own = "list_concat(run[:place % 8], [node], run[place % 8 + 2:])"
+    return f"""{name} AS (
+  SELECT {key}, id, 0 AS level, place, node, proof FROM {base}
+  UNION ALL
+  SELECT {key}, id, level + 1, place // 8, sha256(array_to_string({own}, '')), proof || array_to_string({others}, '')
+  FROM {name} JOIN {tree}_run USING ({key}, level) WHERE up = place // 8
+), {name}_end AS (SELECT id, arg_max(node, level) AS node, arg_max(proof, level) AS proof, arg_max({key}, level) AS {key} FROM {name} GROUP BY id)"""
+
+
+_OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE}, d AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS part, {_leaf('text')} AS node,
+    CASE WHEN {_crc("[ascii(c) FOR c IN string_split(doc_id::VARCHAR, '')]")} % 3 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS altered
+  FROM documents, crc
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, node) - 1 AS place FROM d
+), {_tree('t', 'l', 'part')}, s AS (
+  SELECT 0 AS whole, part, row_number() OVER (ORDER BY part) - 1 AS place, node AS subroot, node
+  FROM (SELECT part, arg_max(node, level) AS node FROM t GROUP BY part)
+), {_tree('u', 's', 'whole')}, root AS (SELECT arg_max(node, level) AS root FROM u),
+f AS (SELECT part, doc_id AS id, place, coalesce(altered, node) AS node, '' AS proof FROM l), {_folds('g', 'f', 't', 'part')},
+h AS (SELECT 0 AS whole, g.id, s.place, g.node, g.proof FROM g_end g JOIN s USING (part)), {_folds('k', 'h', 'u', 'whole')}
+SELECT l.doc_id, l.node AS leaf, s.subroot, root, sha256(k.proof) AS proof_sha256, k.node AS folded_root, k.node = root AS verified
+FROM l JOIN s USING (part) JOIN k_end k ON k.id = l.doc_id, root
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_index_merge": _OP1, "op3_line_dedup": _OP3, "op7_exact_topk": _OP7, "op10_quality_rules": _OP10, "op12_merkle_manifest": _OP12}
