@@ -138,4 +138,39 @@ SELECT l.doc_id, l.node AS leaf, s.subroot, root, sha256(k.proof) AS proof_sha25
 FROM l JOIN s USING (part) JOIN k_end k ON k.id = l.doc_id, root
 """
 
-ORACLES: dict[str, str] = {"op1_warc_index_merge": _OP1, "op3_line_dedup": _OP3, "op7_exact_topk": _OP7, "op10_quality_rules": _OP10, "op12_merkle_manifest": _OP12}
+#: The bytes of a run: letters from U+00C0 to U+00FF are two in UTF-8, 195 and the letter less 64.
+_RUN_BYTES = "flatten([CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END FOR c IN string_split(doc_id || ':' || run, '')])"
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE}, r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), c AS (
+  SELECT run, n, {_crc(_RUN_BYTES)} AS h FROM r, crc
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM c)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+  SELECT word, n, place, left(word, place - 1) AS head, substr(word, place + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM v)
+), less AS (
+  SELECT DISTINCT word, n, head || tail AS rest FROM cut
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (place, head, tail) WHERE a.word <> b.word
+  UNION ALL SELECT l.word, v.word, v.n FROM less l JOIN v ON v.word = rest
+  UNION ALL SELECT v.word, l.word, l.n FROM less l JOIN v ON v.word = rest
+), best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(m) AS m FROM pairs GROUP BY word
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * v.n THEN m END AS form_n,
+    CASE WHEN m >= 5 * v.n THEN (SELECT min(other) FROM pairs p WHERE p.word = v.word AND p.m = best.m) END AS form
+  FROM v LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, arg_max(root, steps) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM formed JOIN chain USING (word) GROUP BY word, form
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_index_merge": _OP1, "op3_line_dedup": _OP3, "op7_exact_topk": _OP7, "op10_quality_rules": _OP10, "op11_spelling": _OP11, "op12_merkle_manifest": _OP12}
