@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, merkle, packing, quality_rules, sharding, simhash, spelling, substring_dedup, token_counts, topk, warc
+from . import bpe, line_dedup, merkle, neighbours, packing, quality_rules, sharding, simhash, spelling, substring_dedup, token_counts, topk, warc
 
 VOCABULARY, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -67,10 +67,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index_merge, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_sharding, op6_bpe,
-        op7_exact_topk, op8_packing, op9_simhash, op10_quality_rules, op11_spelling, op12_merkle_manifest,
+        op7_exact_topk, op8_packing, op9_simhash, op10_quality_rules, op11_spelling, op12_merkle_manifest, op13_neighbours,
     )
 }
