@@ -13,7 +13,7 @@ from ..operators.detection import PRIVATE_IP
 from ..operators.redaction import redacted, residual
 from ..sources.tables import evidence, revisions, statuses, table
 from .evidence import _PREFIXES, _TERMS, _TOKENS, QUESTION
-from .registry import ORACLES, query
+from .registry import query
 from .structure import _MEMORY, _NODES, _memory_items
 
 # The states of a claim and those that may follow each.
@@ -185,7 +185,7 @@ def tree_children(spark, sf_dir):
     return n.groupBy("doc_id").agg(below(F.lit(None).cast("int")).alias("n_roots"), below(F.lit(0)).alias("n_below_root"))
 
 
-# Retrieval of claims and the stored index
+# Retrieval of claims; the stored index is in retrieval.py
 
 
 @query(f"SELECT term, doc_id, count(*)::INT AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL")
@@ -193,16 +193,6 @@ def postings(spark, sf_dir):
     return index.postings(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query()
-def search_index(spark, sf_dir):
-    """BM25 over stored postings, of which only the words' own parts are read; after a sync with all texts the same as a scan."""
-    docs = _docs(spark, sf_dir)
-    built = index.build(docs, "doc_id", "text", version=1)
-    scored = index.bm25(built, " ".join(_PREFIXES), version=1)
-    return scored.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
-
-
-ORACLES["search_index"] = ORACLES["search_bm25"]
 _POOLED = (
     f"p AS (SELECT claim_id, min(doc_id) AS doc_id, any_value(claim_text) AS claim_text, len([x FOR x IN {_TOKENS.format('any_value(claim_text)')} IF x IN ({_TERMS})])::DOUBLE AS score"
     " FROM ev JOIN st USING (doc_id) WHERE status = 'reviewed' GROUP BY claim_id)"
