@@ -2,8 +2,8 @@
 
 A segment is written once: blocks of postings, one row for each term, field and range of rows, with the keys, counts and lengths
 of the rows that hold the term, and the greatest count and least length among them. Ranges hold rows of like length, so these bounds are
-close. The blocks of a term lie beside each other, sorted by term, so a search reads the files of its words. The empty term counts
-every row of a segment, with its number of words.
+close. Blocks are dealt by term and range and sorted by term in their files, so a frequent word or first letter has no file of its own, and a
+search reads the row groups of its words. The empty term counts every row of a segment, with its number of words.
 
 A sync adds a segment with the changed rows and the set of keys that earlier segments have lost by it; those aren't rewritten, and of them only
 the blocks of the empty term are read. Reading takes away what later segments have replaced; compaction makes one segment of
@@ -103,25 +103,38 @@ def _placed(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of postings (term, field, range, key, tf, length)."""
-    entry = F.struct("key", "tf", "length")
-    packed = rows.groupBy("term", "field", "range").agg(F.sort_array(F.collect_list(entry)).alias("p"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    return packed.select("term", "field", "range", F.size("p").alias("n"), "max_tf", "min_length", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+    """Blocks of postings (term, part, key, weight), dealt by (term, part), so that a frequent term goes to many tasks and is shuffled once."""
+    packed = rows.repartition("term", "part").groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("p"))
+    tfs, lengths = F.transform("p", lambda x: F.shiftright(x["weight"], 32).cast("int")), F.transform("p", lambda x: _low(x["weight"]))
+    out = packed.select("term", (F.shiftright("part", 32) - 1).cast("int").alias("field"), _low(F.col("part")).alias("range"), F.size("p").alias("n"), F.col("p.key").alias("keys"), tfs.alias("tfs"), lengths.alias("lengths"))
+    return out.select("term", "field", "range", "n", F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "keys", "tfs", "lengths")
 
 
 def _write_segment(path: str, rows: DataFrame, lost: DataFrame) -> None:
-    blocks = _blocks(rows)
-    blocks.repartitionByRange("term", "field", "range").sortWithinPartitions("term", "field", "range").write.parquet(f"{path}/blocks")
+    _blocks(rows).sortWithinPartitions("term", "field", "range").write.parquet(f"{path}/blocks")
     lost.select("key").distinct().write.parquet(f"{path}/lost")
 
 
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _part(field: Column, of_range: Column) -> Column:
+    return F.shiftleft((field + 1).cast("long"), 32) + of_range
+
+
+def _weight(tf: Column, length: Column) -> Column:
+    return F.shiftleft(tf.cast("long"), 32) + length
+
+
 def _posted(rows: DataFrame, key: str, fields: tuple[str, ...], words: Words) -> DataFrame:
-    """(term, field, range, key, tf, length) of rows, the empty term among them. Counted inside the row."""
+    """(term, part, key, weight) of rows, the empty term among them: field and range as one number, count and length as another. Counted inside the row."""
     split = _placed(rows, key, fields).select("key", "range", *[F.array_sort(words(F.col(f"field{i}"))).alias(f"w{i}") for i in range(len(fields))])
     length = sum((F.size(f"w{i}") for i in range(len(fields))), F.lit(0)).cast("int")
     every = F.array(F.struct(F.lit(EVERY).alias("term"), length.alias("tf"), F.lit(-1).alias("field")))
     own = [F.transform(_counts(F.col(f"w{i}")), lambda c, i=i: F.struct(c["term"].alias("term"), c["tf"].alias("tf"), F.lit(i).alias("field"))) for i in range(len(fields))]
-    return split.select("key", "range", length.alias("length"), F.inline(F.concat(every, *own))).select("term", "field", "range", "key", "tf", "length")
+    flat = split.select("key", "range", length.alias("length"), F.inline(F.concat(every, *own)))
+    return flat.select("term", _part(F.col("field"), F.col("range")).alias("part"), "key", _weight(F.col("tf"), F.col("length")).alias("weight"))
 
 
 def _recorded(index: Index) -> Index:
@@ -173,7 +186,9 @@ def compact(index: Index, last: int | None = None) -> Index:
         return index
     name = f"segment-{uuid.uuid4().hex}"
     lost = reduce(DataFrame.unionByName, [index.spark.read.parquet(f"{index.path}/{s}/lost") for s in merged])
-    _write_segment(f"{index.path}/{name}", index.live(_entries(index.blocks(merged))).drop("place"), lost if kept else lost.limit(0))
+    live = index.live(_entries(index.blocks(merged)))
+    rows = live.select("term", _part(F.col("field"), F.col("range")).alias("part"), "key", _weight(F.col("tf"), F.col("length")).alias("weight"))
+    _write_segment(f"{index.path}/{name}", rows, lost if kept else lost.limit(0))
     return _recorded(replace(index, number=index.number + 1, segments=(*kept, name)))
 
 
