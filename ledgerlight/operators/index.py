@@ -1,12 +1,13 @@
 """A stored inverted index over fields of rows, kept current by segments, and top-k search that skips blocks.
 
-A segment is written once: blocks of postings, one row for each term, field and range of rows, with the keys, counts and lengths
-of the rows that hold the term, and the greatest count and least length among them. Ranges hold rows of like length, so these bounds are
-close. Blocks are dealt by term and range and sorted by term in their files, so a frequent word or first letter has no file of its own, and a
-search reads the row groups of its words. The empty term counts every row of a segment, with its number of words.
-
-A sync adds a segment with the changed rows and the set of keys that earlier segments have lost by it; those aren't rewritten, and of them only
-the blocks of the empty term are read. Reading takes away what later segments have replaced; compaction makes one segment of
+A segment is written once and without a shuffle: each task turns its rows into postings, sorts them by term, and writes blocks, one for each term,
+field and range, with the keys, counts and lengths of the rows that hold the term, and the greatest count and least length among
+them. A range holds the rows of one task and of like length, so these bounds are close and all words of a row have their blocks in one range. Files are
+sorted by term, so a search reads the row groups of its words in each; a frequent word is spread over all of them. A second, small
+table has the rows of a segment with their number of words.
+
+A sync adds a segment with the changed rows and the set of keys that earlier segments have lost by it; those aren't rewritten, and of
+them only the table of rows is read. Reading takes away what later segments have replaced; compaction makes one segment of
 several. The record of what holds (version of the data, segments, totals) is written last, so a reader never sees half a sync. A search
 uses the index only at the version that it was brought to; at any other one it counts terms in the rows.
 """
@@ -14,10 +15,12 @@ uses the index only at the version that it was brought to; at any other one it c
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +29,13 @@ from ..functions.text import any_of, tokens
 from ..sources.store import new_path
 from .search import B, K1, query_terms
 
-#: Rows of a range, about; bands of length for each doubling; ranges of a band at most.
-RANGE_ROWS, BANDS, BAND_RANGES = 2048, 4, 1 << 16
+#: Ranges of a task: one for each doubling of the rows' length, of this many at most.
+BANDS = 64
 #: Ranges that are scored first, for a score to beat; room for rounding in the comparison with it.
 FIRST, SLACK = 4, 1e-9
 #: The term that every row holds, as often as it has words.
 EVERY = ""
-RECORD = "number long, version long, key string, fields array<string>, segments array<string>, n_rows long, n_words long"
+RECORD = "number long, version long, key string, key_type string, fields array<string>, segments array<string>, n_rows long, n_words long"
 
 Words = Callable[[Column], Column]
 
@@ -44,6 +47,7 @@ class Index:
     spark: SparkSession
     path: str
     key: str
+    key_type: str
     fields: tuple[str, ...]
     version: int
     number: int
@@ -53,8 +57,16 @@ class Index:
     words: Words = tokens
 
     def blocks(self, which: tuple[str, ...] | None = None) -> DataFrame:
-        """All blocks with their segment's place."""
-        found = [self.spark.read.parquet(f"{self.path}/{s}/blocks").withColumn("place", F.lit(self.segments.index(s))) for s in which or self.segments]
+        """All blocks of words, with their segment's place."""
+        schema = f"term string, field int, `range` long, n int, max_tf int, min_length int, `keys` array<{self.key_type}>, tfs array<int>, lengths array<int>"
+        return self._tables("blocks", schema, which)
+
+    def rows_of(self, which: tuple[str, ...] | None = None) -> DataFrame:
+        """(key, place, length): the rows of segments with their number of words."""
+        return self._tables("rows", f"key {self.key_type}, length int", which)
+
+    def _tables(self, name: str, schema: str, which: tuple[str, ...] | None) -> DataFrame:
+        found = [self.spark.read.schema(schema).parquet(f"{self.path}/{s}/{name}").withColumn("place", F.lit(self.segments.index(s))) for s in which or self.segments]
         return reduce(DataFrame.unionByName, found)
 
     def lost(self) -> DataFrame | None:
@@ -89,63 +101,74 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.inline(_counts(F.col("w")))).select("term", key, "tf")
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def _placed(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """key, the fields and the range of each row: a band of lengths, and a part of it by hash. The bands are few: logarithms of lengths."""
-    size = sum((F.length(_text(f)) for f in fields), F.lit(0))
-    banded = rows.select(F.col(key).alias("key"), *[_text(f).alias(f"field{i}") for i, f in enumerate(fields)], F.floor(F.log2(size + 1) * BANDS).cast("int").alias("band"))
-    held = {r.band: r.n for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    parts = F.create_map(*[F.lit(x) for band, n in held.items() for x in (band, min(BAND_RANGES, -(-n // RANGE_ROWS)))]) if held else F.create_map(F.lit(0), F.lit(1))
-    return banded.withColumn("range", F.col("band") * BAND_RANGES + F.pmod(F.xxhash64("key"), parts[F.col("band")]).cast("int")).drop("band")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of postings (term, part, key, weight), dealt by (term, part), so that a frequent term goes to many tasks and is shuffled once."""
-    packed = rows.repartition("term", "part").groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("p"))
-    tfs, lengths = F.transform("p", lambda x: F.shiftright(x["weight"], 32).cast("int")), F.transform("p", lambda x: _low(x["weight"]))
-    out = packed.select("term", (F.shiftright("part", 32) - 1).cast("int").alias("field"), _low(F.col("part")).alias("range"), F.size("p").alias("n"), F.col("p.key").alias("keys"), tfs.alias("tfs"), lengths.alias("lengths"))
-    return out.select("term", "field", "range", "n", F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "keys", "tfs", "lengths")
-
-
-def _write_segment(path: str, rows: DataFrame, lost: DataFrame) -> None:
-    _blocks(rows).sortWithinPartitions("term", "field", "range").write.parquet(f"{path}/blocks")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted postings (term, field, range, key, tf, length): a run of equal term, field and range is one block."""
+    held: pa.Table | None = None
+
+    def blocks(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        starts = np.concatenate([[0], ends[:-1]])
+        tf, length = (table[c].to_numpy() for c in ("tf", "length"))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, table[c].chunk(0)) for c in ("key", "tf", "length")]
+        first = table.take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([
+            *(first[c].chunk(0) for c in ("term", "field", "range")), pa.array((ends - starts).astype(np.int32)),
+            pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)), *lists,
+        ], ["term", "field", "range", "n", "max_tf", "min_length", "keys", "tfs", "lengths"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not len(table):
+            continue
+        change = np.zeros(len(table) - 1, bool)
+        for c in ("term", "field", "range"):
+            codes = table[c].combine_chunks().dictionary_encode().indices if c == "term" else table[c]
+            change |= np.diff(codes.to_numpy(zero_copy_only=False) if c == "term" else codes.to_numpy()) != 0
+        ends = np.flatnonzero(change) + 1
+        if len(ends):
+            yield blocks(table.slice(0, int(ends[-1])), ends)
+            table = table.slice(int(ends[-1]))
+        held = table
+    if held is not None and len(held):
+        yield blocks(held, np.array([len(held)]))
+
+
+def _write_segment(path: str, postings: DataFrame, lost: DataFrame) -> None:
+    """Blocks, rows and lost keys of a segment; ``postings`` is (term, field, range, key, tf, length), a range in one partition."""
+    key_type = postings.schema["key"].dataType.simpleString()
+    schema = f"term string, field int, `range` long, n int, max_tf int, min_length int, `keys` array<{key_type}>, tfs array<int>, lengths array<int>"
+    postings.sortWithinPartitions("term", "field", "range").mapInArrow(_runs, schema).write.parquet(f"{path}/blocks")
+    every = postings.sparkSession.read.schema(schema).parquet(f"{path}/blocks").filter(F.col("term") == EVERY)
+    every.select(F.explode(F.arrays_zip("keys", "lengths")).alias("r")).select(F.col("r.keys").alias("key"), F.col("r.lengths").alias("length")).write.parquet(f"{path}/rows")
     lost.select("key").distinct().write.parquet(f"{path}/lost")
 
 
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-
-
-def _part(field: Column, of_range: Column) -> Column:
-    return F.shiftleft((field + 1).cast("long"), 32) + of_range
-
-
-def _weight(tf: Column, length: Column) -> Column:
-    return F.shiftleft(tf.cast("long"), 32) + length
-
-
 def _posted(rows: DataFrame, key: str, fields: tuple[str, ...], words: Words) -> DataFrame:
-    """(term, part, key, weight) of rows, the empty term among them: field and range as one number, count and length as another. Counted inside the row."""
-    split = _placed(rows, key, fields).select("key", "range", *[F.array_sort(words(F.col(f"field{i}"))).alias(f"w{i}") for i in range(len(fields))])
+    """(term, field, range, key, tf, length) of rows, the empty term among them. Counted inside the row."""
+    texts = rows.select(F.col(key).alias("key"), *[F.coalesce(F.col(f), F.lit("")).alias(f"field{i}") for i, f in enumerate(fields)])
+    split = texts.select("key", *[F.array_sort(words(F.col(f"field{i}"))).alias(f"w{i}") for i in range(len(fields))])
     length = sum((F.size(f"w{i}") for i in range(len(fields))), F.lit(0)).cast("int")
+    band = F.spark_partition_id().cast("long") * BANDS + F.floor(F.log2(length + 1))
     every = F.array(F.struct(F.lit(EVERY).alias("term"), length.alias("tf"), F.lit(-1).alias("field")))
-    own = [F.transform(_counts(F.col(f"w{i}")), lambda c, i=i: F.struct(c["term"].alias("term"), c["tf"].alias("tf"), F.lit(i).alias("field"))) for i in range(len(fields))]
-    flat = split.select("key", "range", length.alias("length"), F.inline(F.concat(every, *own)))
-    return flat.select("term", _part(F.col("field"), F.col("range")).alias("part"), "key", _weight(F.col("tf"), F.col("length")).alias("weight"))
+    own = [_of_field(f"w{i}", i) for i in range(len(fields))]
+    flat = split.select("key", band.alias("range"), length.alias("length"), F.inline(F.concat(every, *own)))
+    return flat.select("term", "field", "range", "key", "tf", "length")
+
+
+def _of_field(column: str, number: int) -> Column:
+    return F.transform(_counts(F.col(column)), lambda c: F.struct(c["term"].alias("term"), c["tf"].alias("tf"), F.lit(number).alias("field")))
 
 
 def _recorded(index: Index) -> Index:
-    row = (index.number, index.version, index.key, list(index.fields), list(index.segments), index.n_rows, index.n_words)
+    row = (index.number, index.version, index.key, index.key_type, list(index.fields), list(index.segments), index.n_rows, index.n_words)
     index.spark.createDataFrame([row], RECORD).coalesce(1).write.mode("append").parquet(f"{index.path}/record")
     return index
 
 
-def _totals(every: DataFrame) -> tuple[int, int]:
-    """Rows and words of blocks of the empty term, taken apart as (key, tf)."""
-    n, words = every.agg(F.count("*"), F.coalesce(F.sum("tf"), F.lit(0))).first()
+def _totals(rows: DataFrame) -> tuple[int, int]:
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     return n, words
 
 
@@ -160,8 +183,8 @@ def build(rows: DataFrame, key: str, fields: tuple[str, ...], version: int, path
     path, name = path or new_path(spark, "index"), f"segment-{uuid.uuid4().hex}"
     live = rows.filter(any_of([F.col(f).isNotNull() for f in fields]))
     _write_segment(f"{path}/{name}", _posted(live, key, fields, words), live.limit(0).select(F.col(key).alias("key")))
-    index = Index(spark, path, key, tuple(fields), version, 1, (name,), 0, 0, words)
-    n, total = _totals(_entries(index.blocks().filter(F.col("term") == EVERY)))
+    index = Index(spark, path, key, rows.schema[key].dataType.simpleString(), tuple(fields), version, 1, (name,), 0, 0, words)
+    n, total = _totals(index.rows_of())
     return _recorded(replace(index, n_rows=n, n_words=total))
 
 
@@ -171,10 +194,10 @@ def sync(index: Index, changed: DataFrame, version: int) -> Index:
     keys = changed.select(F.col(index.key).alias("key")).distinct()
     live = changed.filter(any_of([F.col(f).isNotNull() for f in index.fields]))
     _write_segment(f"{index.path}/{name}", _posted(live, index.key, index.fields, index.words), keys)
-    before = index.live(_entries(index.blocks().filter(F.col("term") == EVERY)))
+    before = index.live(index.rows_of())
     gone, gone_words = _totals(before.join(index.spark.read.parquet(f"{index.path}/{name}/lost"), "key", "left_semi"))
     after = replace(index, version=version, number=index.number + 1, segments=(*index.segments, name))
-    new, new_words = _totals(_entries(after.blocks((name,)).filter(F.col("term") == EVERY)))
+    new, new_words = _totals(after.rows_of((name,)))
     return _recorded(replace(after, n_rows=index.n_rows - gone + new, n_words=index.n_words - gone_words + new_words))
 
 
@@ -186,9 +209,9 @@ def compact(index: Index, last: int | None = None) -> Index:
         return index
     name = f"segment-{uuid.uuid4().hex}"
     lost = reduce(DataFrame.unionByName, [index.spark.read.parquet(f"{index.path}/{s}/lost") for s in merged])
-    live = index.live(_entries(index.blocks(merged)))
-    rows = live.select("term", _part(F.col("field"), F.col("range")).alias("part"), "key", _weight(F.col("tf"), F.col("length")).alias("weight"))
-    _write_segment(f"{index.path}/{name}", rows, lost if kept else lost.limit(0))
+    # The ranges stay as they are, each in one partition.
+    live = index.live(_entries(index.blocks(merged))).withColumn("range", F.xxhash64("place", "range")).drop("place").repartition("range")
+    _write_segment(f"{index.path}/{name}", live, lost if kept else lost.limit(0))
     return _recorded(replace(index, number=index.number + 1, segments=(*kept, name)))
 
 
@@ -201,7 +224,7 @@ def opened(spark: SparkSession, path: str, words: Words = tokens) -> Index | Non
             raise
         return None
     r = records.orderBy(F.desc("number")).first()
-    return r and Index(spark, path, r.key, tuple(r.fields), r.version, r.number, tuple(r.segments), r.n_rows, r.n_words, words)
+    return r and Index(spark, path, r.key, r.key_type, tuple(r.fields), r.version, r.number, tuple(r.segments), r.n_rows, r.n_words, words)
 
 
 # Searching
@@ -218,6 +241,7 @@ class Scheme:
         return term.startswith(self.terms[i]) if self.prefix else term == self.terms[i]
 
     def wanted(self) -> Column:
+        """Terms of the question; none of them is empty, so none is the empty term."""
         return any_of([self.matches(F.col("term"), i) for i in range(len(self.terms))])
 
     def tfs(self, tf: Column, over: Callable[[Column], Column] = F.sum) -> list[Column]:
@@ -293,7 +317,7 @@ def top(rows: DataFrame, key: str, fields: tuple[str, ...], question: str, k: in
     else:
         held = rows if allowed is None else rows.join(allowed.select(F.col("key").alias(key)).distinct(), key, "left_semi")
         terms = sorted(set(query_terms(question)))
-        words = F.concat(*[tokens(_text(f)) for f in fields])
+        words = F.concat(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
         scored = held.select(key, F.size(F.filter(words, lambda t: t.isin(*terms))).cast("double").alias("score"), F.lit("term-count").alias("backend")).filter("score > 0") if terms else None
     if scored is None:
         return rows.select(key, F.lit(0.0).alias("score"), F.lit("postings").alias("backend")).limit(0)

@@ -187,7 +187,11 @@ def _gathered(observed: DataFrame, key: list[str]) -> DataFrame:
     """Sessions, hints, paths and tasks of observations in order, each once."""
     hint = F.coalesce(F.when(F.col("source_hint") != "", F.col("source_hint")), F.col("session"))
     parts = {"sessions": F.array("session"), "hints": F.array(hint), "paths": F.coalesce("related_paths", F.array().cast("array<string>")), "tasks": F.coalesce("related_tasks", F.array().cast("array<string>"))}
-    flat = [F.transform(v, lambda x, i, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"), i.alias("i"))) for k, v in parts.items()]
+
+    def marked(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("value"), i.alias("i")))
+
+    flat = [marked(k, v) for k, v in parts.items()]
     rows = observed.select(*key, "at", F.inline(F.concat(*flat))).filter("value <> ''")
     once = rows.groupBy(*key, "kind", "value").agg(F.min(F.struct("at", "i")).alias("at"))
     pick = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("at", "value"))))["value"].alias(k)
