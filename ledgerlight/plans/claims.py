@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index, search
+from ..operators.apply import apply, may_follow
 from ..operators.detection import PRIVATE_IP
 from ..operators.redaction import redacted, residual
 from ..sources.tables import evidence, revisions, statuses, table
@@ -16,24 +17,10 @@ from .evidence import _PREFIXES, _TERMS, _TOKENS, QUESTION
 from .registry import query
 from .structure import _MEMORY, _NODES, _memory_items
 
-# The states of a claim and those that may follow each.
-FOLLOWING = {
-    "candidate": ("reviewed", "disputed", "retracted", "stale"),
-    "reviewed": ("disputed", "stale", "superseded", "retracted"),
-    "disputed": ("reviewed", "stale", "superseded", "retracted"),
-    "stale": ("superseded", "retracted"),
-    "superseded": (),
-    "retracted": (),
-}
 #: What a review aims at, and the states from which it may be given beyond the table above.
 REVIEWS = {"approve": ("reviewed", ("candidate", "disputed")), "reject": ("retracted", ("candidate", "disputed")), "retract": ("retracted", ("reviewed", "disputed"))}
 
 
-def may_follow(before: Column, after: Column) -> Column:
-    """Whether a claim may go from one state to another."""
-    return reduce(lambda a, b: a | b, [(before == k) & after.isin(*v) for k, v in FOLLOWING.items() if v])
-
-
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
@@ -143,20 +130,72 @@ def stale_inputs(spark, sf_dir):
     return docs.join(_labels(spark, sf_dir), "doc_id", "left_semi").join(old, ["source", "digest"], "left_semi").select("doc_id", "source")
 
 
+# Proposals: a run has the texts of DOCS_OF_RUN documents, and a claim of each; faults are planted by rule. A document that isn't
+# retracted is current; the claims that exist are those of ``benchmark`` in the documents that hold them.
+
+DOCS_OF_RUN, STATE = 3, 7
+_RULES = {
+    "closed": "run % 41 = 1", "old_state": "run % 37 = 2", "moved": "doc_id % 53 = 3", "long": "doc_id % 211 = 4", "foreign": "doc_id % 101 = 5", "misquoted": "doc_id % 43 = 6", "twice": "doc_id % 5 = 1",
+}
+_PROPOSED = (
+    "line AS (SELECT doc_id, source, t, coalesce([x FOR x IN ls IF length(x) > 30][1], [x FOR x IN ls IF length(x) > 0][1]) AS claim FROM (SELECT doc_id, source, text AS t, [regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(text, chr(10))] AS ls FROM documents)),"
+    f" held AS (SELECT doc_id, min(claim_id) AS claim_id, min_by(claim_text, claim_id) AS claim_text FROM ev GROUP BY doc_id), d AS (SELECT line.doc_id, source, t, line.doc_id // {DOCS_OF_RUN} AS run, status, CASE WHEN line.doc_id % 2 = 0 THEN coalesce(claim_text, claim) ELSE claim END AS claim, claim_id, CASE WHEN line.doc_id % 2 = 1 THEN claim_id END AS prior FROM line LEFT JOIN held USING (doc_id) JOIN st ON st.doc_id = line.doc_id WHERE claim IS NOT NULL),"
+    f" p AS (SELECT *, doc_id * 2 AS number, false AS again FROM d UNION ALL SELECT *, doc_id * 2 + 1, true FROM d WHERE {_RULES['twice']}),"
+    f" x AS (SELECT *, CASE WHEN {_RULES['closed']} THEN 0 WHEN {_RULES['old_state']} THEN 1 WHEN bool_or(status = 'retracted' OR {_RULES['moved']}) OVER (PARTITION BY run) THEN 2 END AS run_fault,"
+    f" CASE WHEN {_RULES['long']} OR length(claim) > 4000 THEN 4 WHEN {_RULES['foreign']} THEN 5 WHEN {_RULES['misquoted']} THEN 6 END AS own_fault,"
+    " (doc_id % 2 = 0 AND claim_id IS NOT NULL) OR again AS double FROM p),"
+    " y AS (SELECT *, coalesce(own_fault, CASE WHEN NOT double AND prior IS NOT NULL AND status NOT IN ('reviewed', 'disputed', 'stale') THEN 7 END) AS f FROM x)"
+)
+
+
+def _proposals(spark, sf_dir):
+    """The tables of ``apply``, from documents, benchmark and labels."""
+    docs, rule = _docs(spark, sf_dir), {k: F.expr(v.replace(" = ", " == ")) for k, v in _RULES.items()}
+    ev = _ev(spark, sf_dir)
+    held = ev.groupBy("doc_id").agg(F.min("claim_id").alias("claim_id"), F.min_by("claim_text", "claim_id").alias("claim_text"))
+    lines = F.transform(F.split("text", "\n"), T.strip)
+    own = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x) > 30), F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) > 0), F.lit(0)))
+    even = F.col("doc_id") % 2 == 0
+    base = docs.select("doc_id", "source", "text", own.alias("own")).filter("own IS NOT NULL").join(held, "doc_id", "left").join(statuses(docs, _labels(spark, sf_dir)), "doc_id")
+    rows = base.select("doc_id", "source", "text", "status", F.floor(F.col("doc_id") / DOCS_OF_RUN).alias("run"), F.when(even, F.coalesce("claim_text", "own")).otherwise(F.col("own")).alias("claim"), F.when(~even, F.col("claim_id")).alias("prior"))
+    place = (F.instr("text", F.col("claim")) - 1).alias("start")
+    numbers = F.when(rule["twice"], F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).otherwise(F.array(F.col("doc_id") * 2))
+    each = rows.withColumn("number", F.explode(numbers))
+    key = lambda claim: claim * 100_000_000 + F.col("doc_id")
+    stated = F.when(rule["long"], F.rpad(F.col("claim"), F.lit(4001), F.lit("x"))).otherwise(F.col("claim"))
+    proposals = each.select(F.col("run").alias("run_id"), "number", F.col("source").alias("entity"), stated.alias("text"), key(F.col("prior")).alias("supersedes"), F.array().cast("array<long>").alias("contradicts"))
+    quotes = each.select(F.col("run").alias("run_id"), "number", F.when(rule["foreign"], F.col("doc_id") + DOCS_OF_RUN).otherwise(F.col("doc_id")).alias("revision"), place, (F.col("start") + F.length("claim")).alias("end"), F.when(rule["misquoted"], F.concat("claim", F.lit("x"))).otherwise(F.col("claim")).alias("quote"))
+    state = F.when(rule["old_state"], STATE - 1).otherwise(STATE)
+    runs = rows.select("run").distinct().select(F.col("run").alias("run_id"), F.when(rule["closed"], "completed").otherwise("exported").alias("status"), state.alias("state_version"), F.lit(STATE).alias("result_version"))
+    now = T.digest(F.col("text"))
+    revisions_of = rows.select(F.col("doc_id").alias("revision"), now.alias("digest"), (F.col("status") != "retracted").alias("is_current"), "text")
+    inputs = rows.select(F.col("run").alias("run_id"), F.col("doc_id").alias("revision"), F.when(rule["moved"], T.digest(F.concat("text", F.lit("old")))).otherwise(now).alias("digest"))
+    known = ev.join(statuses(docs, _labels(spark, sf_dir)), "doc_id").withColumn("claim", key(F.col("claim_id")))
+    claims = known.select("claim", F.col("source").alias("entity"), T.digest(F.col("claim_text")).alias("digest"), "status", F.lit(True).alias("is_current"))
+    return runs, inputs, proposals, quotes, revisions_of, claims, known.select("claim", F.col("doc_id").alias("revision"))
+
+
 @query(
-    "SELECT claim_id, doc_id, array_to_string([x FOR x IN [CASE WHEN length(trim(claim_text)) NOT BETWEEN 1 AND 4000 THEN 'length' END, CASE WHEN substr(body, char_start + 1, char_end - char_start) <> claim_text THEN 'quote' END,"
-    " CASE WHEN NOT is_current THEN 'input not current' END, CASE WHEN (row_number() OVER (PARTITION BY claim_id, source, digest ORDER BY ev.doc_id)) > 1 THEN 'duplicate' END] IF x IS NOT NULL], '; ') AS errors FROM ev JOIN cur USING (source, digest)",
-    "rev cur ev",
+    f"{_PROPOSED} SELECT run AS run_id, CASE WHEN max(fault) IS NULL THEN 'applied' ELSE 'refused' END AS outcome, ['run closed', 'stale state', 'stale input', 'entity', 'text', 'revision not in request', 'quote', 'supersession', 'contradiction target'][max(fault) + 1] AS reason, max(spot) AS at_proposal,"
+    " CASE WHEN max(fault) IS NULL THEN count_if(NOT double) ELSE 0 END::BIGINT AS n_created, CASE WHEN max(fault) IS NULL THEN count_if(double) ELSE 0 END::BIGINT AS n_reused"
+    " FROM (SELECT *, coalesce(run_fault, (first_value(f) OVER w)) AS fault, CASE WHEN run_fault IS NULL THEN first_value(CASE WHEN f IS NOT NULL THEN number END) OVER w END AS spot FROM y WINDOW w AS (PARTITION BY run ORDER BY f IS NULL, number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY run",
+    "ev st",
+)
+def applied_runs(spark, sf_dir):
+    """What became of each run of proposals: applied whole, or refused for the first fault of any of its proposals."""
+    return apply(*_proposals(spark, sf_dir), STATE).outcomes
+
+
+@query(
+    f"{_PROPOSED}, bad AS (SELECT DISTINCT run FROM y WHERE coalesce(run_fault, f) IS NOT NULL) SELECT claim_id * 100000000 + doc_id AS claim, status AS before, doc_id * 2 AS at_proposal FROM (SELECT y.*, prior AS held FROM y) WHERE prior IS NOT NULL AND NOT double AND run NOT IN (SELECT run FROM bad)",
+    "ev st",
 )
-def apply_checks(spark, sf_dir):
-    """All that speaks against each proposed claim; a proposal is applied whole or not at all."""
-    rows = _ev(spark, sf_dir).join(_current(spark, sf_dir), ["source", "digest"])
-    again = F.row_number().over(Window.partitionBy("claim_id", "source", "digest").orderBy("doc_id")) > 1
-    tests = F.array(
-        F.when(~F.length(F.trim("claim_text")).between(1, 4000), "length"), F.when(F.col("quote") != F.col("claim_text"), "quote"),
-        F.when(~F.col("is_current"), "input not current"), F.when(F.col("again"), "duplicate"),
-    )
-    return rows.withColumn("again", again).select("claim_id", "doc_id", F.array_join(F.array_compact(tests), "; ").alias("errors"))
+def superseded_by_apply(spark, sf_dir):
+    """Claims that a new claim of their entity took the place of, with the state that they had."""
+    tables = _proposals(spark, sf_dir)
+    found = apply(*tables, STATE)
+    before = tables[5].select("claim", F.col("status").alias("before"))
+    return found.superseded.join(found.created.select(F.col("claim").alias("next_claim"), F.col("number").alias("at_proposal")), "next_claim").join(before, "claim").select("claim", "before", "at_proposal")
 
 
 @query("SELECT (SELECT count(*) FROM rev)::BIGINT AS n_ingested, (SELECT count(*) FROM labels WHERE quality IS NOT NULL)::BIGINT AS n_reviews, ((SELECT count(*) FROM rev) + (SELECT count(*) FROM labels WHERE quality IS NOT NULL))::BIGINT AS version", "rev")

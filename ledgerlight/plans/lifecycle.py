@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import jobs
 from ..sources.tables import claims, evidence, revisions, statuses, table
 from ..streaming.folds import fold_to_table
 from .registry import query
@@ -211,3 +212,44 @@ def stream_job_states(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     folded = events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.max_by("event_type", "event_id").alias("status"))
     return fold_to_table(folded, "job-states")
+
+
+# Jobs: an event of a user's log is an event of one of the user's jobs, by the number in its record
+
+_EVENTS_OF_JOBS = {"signup": "create", "view": "create", "click": "running", "purchase": "completed", "error": "cancel"}
+
+
+def _job_events(rows):
+    """(at, kind, key, event) of logged events; one kind isn't allowed."""
+    kinds = F.array(*[F.lit(k) for k in (*jobs.KINDS[:4], "shell")])
+    names = F.create_map(*[F.lit(x) for pair in _EVENTS_OF_JOBS.items() for x in pair])
+    number = F.get_json_object("props", "$.k").cast("long") % 7
+    return rows.select(F.col("event_id").alias("at"), F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int")).alias("kind"), F.concat_ws("/", F.col("user_id").cast("string"), number.cast("string")).alias("key"), names[F.col("event_type")].alias("event"))
+
+
+_JOB_NAMES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENTS_OF_JOBS.items()) + " END"
+_SAME = "at := a.at, e := a.e, status := {}, created := {}, updated := {}, n := a.n + 1, rep := a.rep + {}, ref := a.ref + {}"
+_STEP = (
+    f"CASE WHEN a.status = '' AND x.e = 'create' THEN struct_pack({_SAME.format(chr(39) + 'queued' + chr(39), 'x.at', 'x.at', 0, 0)}) WHEN a.status = '' THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 0, 1)})"
+    f" WHEN x.e = 'create' OR (a.status IN ('completed', 'cancelled') AND (x.e = a.status OR x.e = 'cancel' AND a.status = 'cancelled')) THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 1, 0)})"
+    f" WHEN a.status IN ('completed', 'cancelled') OR x.e = 'cancel' AND a.status = 'running' THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 0, 1)})"
+    f" ELSE struct_pack({_SAME.format('CASE WHEN x.e = ' + chr(39) + 'cancel' + chr(39) + ' THEN ' + chr(39) + 'cancelled' + chr(39) + ' ELSE x.e END', 'a.created', 'x.at', 0, 0)}) END"
+)
+_EMPTY_JOB = "struct_pack(at := {0}, e := {1}, status := '', created := 0::BIGINT, updated := 0::BIGINT, n := 0::BIGINT, rep := 0::BIGINT, ref := 0::BIGINT)"
+_JOBS_SQL = (
+    f"SELECT kind, key, j.status AS status, j.created AS created_at, j.updated AS updated_at, j.n AS n_events, j.rep AS n_repeats, j.ref AS n_refused FROM (SELECT kind, key, list_reduce(list_prepend({_EMPTY_JOB.format('0::BIGINT', chr(39) + chr(39))}, list({_EMPTY_JOB.format('at', 'event')} ORDER BY at)), lambda a, x: {_STEP}) AS j"
+    f" FROM (SELECT event_id AS at, ['ingest_file', 'ingest_url', 'compile', 'render', 'shell'][user_id % 5 + 1] AS kind, user_id || '/' || ((props::JSON ->> 'k')::BIGINT % 7) AS key, {_JOB_NAMES} AS event FROM events) WHERE kind <> 'shell' GROUP BY kind, key) WHERE j.status <> ''"
+)
+
+
+@query(_JOBS_SQL)
+def jobs_folded(spark, sf_dir):
+    """Jobs by kind and key: repeats of a create, ends that stay, cancels refused while a job runs."""
+    return jobs.folded(_job_events(table(spark, sf_dir, "events")))
+
+
+@query(_JOBS_SQL)
+def jobs_streamed(spark, sf_dir):
+    """The same from a stream of the log, with a state for each job."""
+    schema = table(spark, sf_dir, "events").schema
+    return jobs.streamed(_job_events(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)))
