@@ -228,17 +228,17 @@ def _job_events(rows):
 
 
 _JOB_NAMES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENTS_OF_JOBS.items()) + " END"
-_SAME = "at := a.at, e := a.e, status := {}, created := {}, updated := {}, n := a.n + 1, rep := a.rep + {}, ref := a.ref + {}"
+_SAME = "p := a.p, e := a.e, status := {}, created := {}, updated := {}, n := a.n + 1, rep := a.rep + {}, ref := a.ref + {}"
 _STEP = (
-    f"CASE WHEN a.status = '' AND x.e = 'create' THEN struct_pack({_SAME.format(chr(39) + 'queued' + chr(39), 'x.at', 'x.at', 0, 0)}) WHEN a.status = '' THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 0, 1)})"
+    f"CASE WHEN a.status = '' AND x.e = 'create' THEN struct_pack({_SAME.format(chr(39) + 'queued' + chr(39), 'x.p', 'x.p', 0, 0)}) WHEN a.status = '' THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 0, 1)})"
     f" WHEN x.e = 'create' OR (a.status IN ('completed', 'cancelled') AND (x.e = a.status OR x.e = 'cancel' AND a.status = 'cancelled')) THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 1, 0)})"
     f" WHEN a.status IN ('completed', 'cancelled') OR x.e = 'cancel' AND a.status = 'running' THEN struct_pack({_SAME.format('a.status', 'a.created', 'a.updated', 0, 1)})"
-    f" ELSE struct_pack({_SAME.format('CASE WHEN x.e = ' + chr(39) + 'cancel' + chr(39) + ' THEN ' + chr(39) + 'cancelled' + chr(39) + ' ELSE x.e END', 'a.created', 'x.at', 0, 0)}) END"
+    f" ELSE struct_pack({_SAME.format('CASE WHEN x.e = ' + chr(39) + 'cancel' + chr(39) + ' THEN ' + chr(39) + 'cancelled' + chr(39) + ' ELSE x.e END', 'a.created', 'x.p', 0, 0)}) END"
 )
-_EMPTY_JOB = "struct_pack(at := {0}, e := {1}, status := '', created := 0::BIGINT, updated := 0::BIGINT, n := 0::BIGINT, rep := 0::BIGINT, ref := 0::BIGINT)"
+_EMPTY_JOB = "struct_pack(p := {0}, e := {1}, status := '', created := 0::BIGINT, updated := 0::BIGINT, n := 0::BIGINT, rep := 0::BIGINT, ref := 0::BIGINT)"
 _JOBS_SQL = (
-    f"SELECT kind, key, j.status AS status, j.created AS created_at, j.updated AS updated_at, j.n AS n_events, j.rep AS n_repeats, j.ref AS n_refused FROM (SELECT kind, key, list_reduce(list_prepend({_EMPTY_JOB.format('0::BIGINT', chr(39) + chr(39))}, list({_EMPTY_JOB.format('at', 'event')} ORDER BY at)), lambda a, x: {_STEP}) AS j"
-    f" FROM (SELECT event_id AS at, ['ingest_file', 'ingest_url', 'compile', 'render', 'shell'][user_id % 5 + 1] AS kind, user_id || '/' || ((props::JSON ->> 'k')::BIGINT % 7) AS key, {_JOB_NAMES} AS event FROM events) WHERE kind <> 'shell' GROUP BY kind, key) WHERE j.status <> ''"
+    f"SELECT kind, key, j.status AS status, j.created AS created_at, j.updated AS updated_at, j.n AS n_events, j.rep AS n_repeats, j.ref AS n_refused FROM (SELECT kind, key, list_reduce(list_prepend({_EMPTY_JOB.format('0::BIGINT', chr(39) + chr(39))}, list({_EMPTY_JOB.format('born', 'event')} ORDER BY born)), lambda a, x: {_STEP}) AS j"
+    f" FROM (SELECT event_id AS born, ['ingest_file', 'ingest_url', 'compile', 'render', 'shell'][user_id % 5 + 1] AS kind, user_id || '/' || ((props::JSON ->> 'k')::BIGINT % 7) AS key, {_JOB_NAMES} AS event FROM events) WHERE kind <> 'shell' GROUP BY kind, key) WHERE j.status <> ''"
 )
 
 
