@@ -322,3 +322,35 @@ def evidence_bundle_budget(spark, sf_dir):
 @query()
 def porter_search(spark, sf_dir):
     return stemmed_counts(_docs(spark, sf_dir), "standing onely reds", 10)
+
+
+_PAGE_NODES = _NODES.replace("FROM documents", "FROM (SELECT page_id AS doc_id, html AS text FROM pages)")
+
+
+@query(
+    f"{_PAGE_NODES} SELECT doc_id AS page_id, document_order::INT AS document_order, heading, depth::INT AS depth, parent_order::INT AS parent_order, a::INT AS char_start, b::INT AS char_end,"
+    f" {_LINE.format('a')} AS line_start, {_LINE.format('greatest(a, b - 1)')} AS line_end FROM o"
+)
+def page_nodes(spark, sf_dir):
+    """Pages are ingested as plain text: their tags are words like any other."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    found = tree.nodes(pages).withColumnRenamed("doc_id", "page_id")
+    return found.select("page_id", "document_order", "heading", "depth", "parent_order", "char_start", "char_end", "line_start", "line_end")
+
+
+_NOTE = "'# ' || source || ' ' || lang || chr(10) || chr(10) || text || chr(10) || '## Origin ##' || chr(10) || 'doc ' || doc_id || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '#####' || chr(10) || chr(10) || '  late title  ' || chr(10) || '####### seven' || chr(10) || '# End'"
+
+
+@query(
+    "SELECT doc_id, number::INT AS number, level, title, length(regexp_extract(m, '^[^\\n]*'))::INT AS first_line, parent FROM (SELECT *, coalesce((SELECT max(q.number) FROM h q WHERE q.doc_id = h.doc_id AND q.number < h.number AND q.level < h.level), 0)::INT AS parent FROM h)"
+    .replace("SELECT doc_id, number", f"WITH n AS (SELECT doc_id, regexp_extract_all({_NOTE}, '(?m)^#{{1,6}}\\s+.+?\\s*$') AS ms FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, m, i AS number, length(regexp_extract(m, '^#+'))::INT AS level, trim(regexp_extract(m, '^#+\\s+((.|\\n)*)', 1), E' \\n\\t\\r') AS title FROM (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM n)) SELECT doc_id, number", 1)
+)
+def markdown_outline(spark, sf_dir):
+    """The headings of a Markdown note made of each document, with their parents; lines in a fence count, as in a plain search."""
+    note = F.concat(
+        F.lit("# "), "source", F.lit(" "), "lang", F.lit("\n\n"), "text", F.lit("\n## Origin ##\ndoc "), F.col("doc_id").cast("string"), F.lit("\n```\n# code\n```\n#####\n\n  late title  \n####### seven\n# End"),
+    )
+    notes = _docs(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", note.alias("text"))
+    first = lambda h: F.length(F.substring_index(T.piece(F.col("text"), h["start"], h["end"]), "\n", 1))
+    row = lambda h: F.struct(*[h[c].alias(c) for c in ("number", "level", "title")], first(h).alias("first_line"), h["parent"].alias("parent"))
+    return tree.with_sections(notes, markdown=True).select("doc_id", F.inline(F.transform("heads", row)))
