@@ -1,11 +1,10 @@
 """SimHash near-dedup by anchor-point covering.
 
-Fingerprints are cut into blocks, and several blocks together make a word: of six blocks, any two that
-near fingerprints share whole (four differing bits spoil four blocks at most), of seven any three, of eight
-any four as the rows grow. In each word the anchors are those of a covering code: a perfect Hamming code on
-fifteen bits (every string is within one bit of an anchor) beside free bits. A fingerprint is at home
-at the anchor nearest to it and is replicated to every anchor within the covering radius plus the
-word's threshold; so whichever of two near fingerprints is taken, the other one visits its home.
+Fingerprints are cut into blocks, and several blocks together make a word: one of three, and as the rows grow two of five, three
+of six or four of seven. Of four differing bits the best word has one at most. In each word the anchors are those of a
+covering code: a perfect Hamming code on fifteen bits (every string is within one bit of an anchor) beside free bits. A
+fingerprint is at home at the anchor nearest to it and is replicated to every anchor within the covering radius plus the word's
+threshold of one bit; so whichever of two near fingerprints is taken, the other one visits its home, though their homes may differ.
 Per anchor, homes are compared with visitors on the whole fingerprint.
 
 Equal fingerprints are one class before anything is replicated, and a class travels as its smallest
@@ -66,8 +65,8 @@ class Covering:
 
 
 def covering_for(rows: int) -> Covering:
-    """Of words for links of four bits, those whose anchors keep the comparisons of a row few: 2^17, 2^23 or 2^28 of them."""
-    return Covering(4, 6, 2) if rows < 1 << 21 else Covering(4, 7, 3) if rows < 1 << 27 else Covering(4, 8, 4)
+    """Of words for links of four bits, those whose anchors keep the comparisons of a row few: 2^17, 2^21, 2^28 or 2^32 of them."""
+    return Covering(4, 3) if rows < 1 << 19 else Covering(4, 5, 2) if rows < 1 << 24 else Covering(4, 6, 3) if rows < 1 << 29 else Covering(4, 7, 4)
 
 
 # Column i of the parity checks of the [15, 11] Hamming code is the number i + 1.
@@ -308,12 +307,12 @@ def near_links(classes: DataFrame, covering: Covering | None = None, threshold_b
     """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
     rows = classes.count() if rows is None else rows
     covering = covering or covering_for(rows)
-    cells = max(256, min(1 << 14, -(-rows * len(covering.words()) // CELL_ROWS)))
+    cells = max(256, -(-rows * len(covering.words()) // CELL_ROWS))
     nodes = classes.select("node", "f1", "f2")
-    # A row for each cell at most (16,384): small by construction, so it may be broadcast.
+    # A row for each cell; the cells grow with the rows, so this is a table like any other.
     loads = nodes.mapInArrow(_loads(covering, cells), "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
     loads = loads.select("cell", F.ceil(F.col("homes") / CELL_HOMES).cast("int").alias("tasks"))
-    packs = nodes.mapInArrow(_replicas(covering, cells), "cell int, kind int, pack binary").join(F.broadcast(loads), "cell")
+    packs = nodes.mapInArrow(_replicas(covering, cells), "cell int, kind int, pack binary").join(loads, "cell")
     one = F.array(F.pmod(F.xxhash64("pack"), F.col("tasks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tasks") - 1)
     dealt = packs.withColumn("task", F.explode(F.when(F.col("kind") == HOME, one).otherwise(every)))
