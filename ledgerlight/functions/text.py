@@ -93,12 +93,15 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def entropy(x: Column) -> Column:
-    """Bits a character of a short token."""
-    chars = F.split(x, "")
-    kinds = F.array_distinct(chars)
+    """Bits a character of a text of any length, from the run lengths of its sorted characters; null for an empty one."""
+    chars = F.array_sort(F.split(x, ""))
+    # Where a run ends, the number of characters up to there; arrays of one bind what is used more than once.
+    ends = lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(F.get(cs, i + 1).isNull() | (F.get(cs, i + 1) != c), i + 1)), lambda e: e.isNotNull())
+    sizes = lambda es: F.zip_with(es, F.concat(F.array(F.lit(0)), F.slice(es, F.lit(1), F.size(es) - 1)), lambda e, before: (e - before).cast("double"))
     n = F.length(x).cast("double")
-    shares = F.transform(kinds, lambda c: (F.length(x) - F.length(F.replace(x, c, F.lit("")))) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    bits = lambda ss: F.aggregate(ss, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(n > 0, bind(bind(bind(chars, ends), sizes), bits))
 
 
 def any_of(tests: list[Column]) -> Column:

@@ -134,6 +134,52 @@ def test_needles_spare_no_match():
         assert R.redact_text(text) == masked and R.residual_of(masked) == []
 
 
+def test_search_before_masking_spares_no_match(spark):
+    """What the search in the JVM keeps away is what masking leaves as it is."""
+    from ledgerlight.operators import redaction as R
+
+    terms, home = ("Kim", "build-box-7"), "C:\\Work\\Kim Ann"
+    texts = [
+        "plain words only", "", "AKIA" + "A1" * 8, "x ghr_" + "a1" * 20, "github_pat_" + "a1" * 12, "xoxp-" + "a1" * 8, "AIza" + "a" * 35, "sk-ant-" + "a1" * 12, ".".join(["eyJ" + "a1" * 8] * 2 + ["b2" * 8]), "ftp://a:b@host",
+        "-----BEGIN EC PRIVATE KEY-----\nabc", "<System_Reminder\nx>y</system_reminder> z", "<command-name>q", "<INSTRUCTIONS>\n", "BEARER abcdefgh99", "bas\u0131c abcdefgh99", "ba\u017fic abcdefgh99", "to\u212aen abcdefgh99", "\u0130nstructions",
+        "C:\\USERS\\ann x", "/Home/ann/x", "DB_PASSWORD = 'a b'", "pwd: q", "MYAUTH=zz", "at 10.1.2.3 or 172.16.0.1", "192.168.7.7", "mail A.B@c-d.org", "KIM here", "kimono", "BUILD-BOX-7", "c:/work/kim ann/x", "C:\\\\Work\\\\Kim Ann", "aB3" * 14, "a" * 40,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.redacted, r.residual) for r in R.redact(df, "doc_id", terms=terms, home=home).collect()}
+    for i, t in enumerate(texts):
+        masked = R.redact_text(t, terms, home)
+        assert got[i] == (masked, "; ".join(R.residual_of(masked, terms))), t
+    assert got[len(texts)] == (None, None) and sum(R.redact_text(t, terms, home) != t for t in texts) > 25
+
+
+def test_detection_is_linear(spark):
+    """Four long hostile lines take detection no longer than the five seconds that are asked for, beyond what any query takes."""
+    D = detection
+    lines = ["a." * 100_000, "key." * 50_000, "x" * 200_000, "10.0.0.1\n" * 100_000]
+    found = lambda rows: spark.createDataFrame([(x,) for x in rows], "text string").select(F.size(D.secret_findings(F.col("text"))), F.size(D.findings(F.col("text")))).collect()
+
+    def seconds(rows):
+        began = time.time()
+        assert len(found(rows)) == 4
+        return time.time() - began
+
+    seconds(["warm"] * 4)
+    assert seconds(lines) - seconds(["warm"] * 4) < 5
+
+
+def test_entropy_of_long_texts(spark):
+    import math
+    from collections import Counter
+
+    from ledgerlight.functions.text import entropy
+
+    texts = ["a", "ab", "aab\u00e9\U0001f600\U0001f600", "x y\n" * 50_000, " ", "AaAa0"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    want = [-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) for t in texts]
+    got = [r.e for r in df.select("t", entropy(F.col("t")).alias("e")).collect()]
+    assert got[:-2] == pytest.approx(want) and got[-2:] == [None, None]
+
+
 def test_headings_look_at_lines_once(spark):
     """Many short lines stay cheap: the lines are a column, not an expression computed for each line."""
     import time
