@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import tree
+from ..operators.audit import running
 from ..operators.bundle import evidence_bundle
 from ..operators.markdown import with_flat
 from ..operators.stems import stemmed_counts
@@ -280,10 +281,9 @@ def ingest_plan(spark, sf_dir):
     "SELECT host, page_id, used, used <= 20000 AS allowed FROM (SELECT host, page_id, sum(size) OVER (PARTITION BY host ORDER BY page_id)::BIGINT AS used FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, strlen(html) AS size FROM pages))"
 )
 def export_budget(spark, sf_dir):
-    """A running budget of bytes over the pages of each host."""
+    """A running budget of bytes over the pages of each host, carried from cell to cell of page numbers."""
     sized = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.octet_length("html").cast("long").alias("size"))
-    used = F.sum("size").over(Window.partitionBy("host").orderBy("page_id"))
-    return sized.select("host", "page_id", used.alias("used"), (used <= 20000).alias("allowed"))
+    return running(sized, "host", "page_id", "size", 1 << 16).select("host", "page_id", "used", (F.col("used") <= 20000).alias("allowed"))
 
 
 @query(

@@ -85,14 +85,18 @@ def evidence(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def statuses(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and the state that its reviews lead to: approved ones are reviewed unless retracted, rejected ones retracted."""
-    state = (
+def status() -> Column:
+    """The state that quality and toxic lead to: approved ones are reviewed unless retracted, rejected ones retracted."""
+    return (
         F.when(F.col("quality").isNull(), "candidate")
         .when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), "reviewed")
         .otherwise("retracted")
     )
-    return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", state.alias("status"))
+
+
+def statuses(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and the state that its reviews lead to."""
+    return docs.select("doc_id").join(labels, "doc_id", "left").select("doc_id", status().alias("status"))
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
