@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import jobs
+from ..operators import transcripts as transcript_files
 from ..sources.tables import claims, evidence, revisions, statuses, table
 from ..streaming.folds import fold_to_table
 from .registry import query
@@ -253,3 +254,30 @@ def jobs_streamed(spark, sf_dir):
     """The same from a stream of the log, with a state for each job."""
     schema = table(spark, sf_dir, "events").schema
     return jobs.streamed(_job_events(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)))
+
+
+_LEAST_AGE = 14
+_BOTH = "bool_or(role = 'user') AND bool_or(role = 'assistant')"
+_ANY = "bool_or(role IN ('user', 'assistant') AND text IS NOT NULL)"
+
+
+@query(
+    f"SELECT conv_id, kind, CASE WHEN age < {_LEAST_AGE} OR tracked THEN 'keep' ELSE 'decide' END AS action, CASE WHEN age < {_LEAST_AGE} THEN 'younger than {_LEAST_AGE} days' WHEN tracked THEN 'tracked' ELSE 'untracked transcript (' || kind || '), ' || age || 'd old' END AS why"
+    f" FROM (SELECT conv_id, conv_id % 40 AS age, conv_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS tracked, CASE conv_id % 5 WHEN 0 THEN CASE WHEN {_BOTH} THEN 'dialogue-markers' WHEN conv_id % 2 = 0 THEN 'filename-only-review-required' END"
+    f" WHEN 3 THEN 'session-metadata' WHEN 4 THEN CASE WHEN conv_id % 2 = 0 THEN 'filename-only-review-required' END ELSE CASE WHEN {_ANY} THEN 'message-record' WHEN conv_id % 2 = 0 AND conv_id % 5 = 1 THEN 'filename-only-review-required' END END AS kind FROM conversations GROUP BY conv_id) WHERE kind IS NOT NULL"
+)
+def transcript_routes(spark, sf_dir):
+    """Every session as a file of one of five forms: plain, lines of JSON, a wrapper of messages, metadata, or text without marks; its kind, and what to do with it."""
+    turns = table(spark, sf_dir, "conversations")
+    record = F.struct("turn", F.to_json(F.struct("role", F.col("text").alias("content"))).alias("r"), F.concat("role", F.lit(": "), T.text_of("text")).alias("line"), T.text_of("text").alias("text"))
+    sessions = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(record)).alias("t"))
+    form = F.col("conv_id") % 5
+    text = (
+        F.when(form == 0, F.array_join("t.line", "\n\n")).when(form == 1, F.concat(F.lit("no json\n"), F.array_join("t.r", "\n"))).when(form == 2, F.concat(F.lit('{"messages": ['), F.array_join("t.r", ","), F.lit("]}")))
+        .when(form == 3, F.lit('[{"type": "other"}, {"type": "session_meta", "payload": {"id": 1}}]')).otherwise(F.array_join("t.text", " "))
+    )
+    end = F.when(form == 1, ".jsonl").when(form.isin(2, 3), ".json").otherwise(".txt")
+    name = F.concat(F.lit("logs/"), F.when(F.col("conv_id") % 2 == 0, "rollout-").otherwise("notes-"), F.col("conv_id").cast("string"), end)
+    consumed = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("tracked")).distinct()
+    files = sessions.select("conv_id", name.alias("name"), text.alias("text"), (F.col("conv_id") % 40).alias("age_days")).join(consumed, "conv_id", "left")
+    return transcript_files.routed(files, _LEAST_AGE).select("conv_id", "kind", "action", "why")
