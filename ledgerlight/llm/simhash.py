@@ -450,8 +450,8 @@ def _copy_replicas(cells: int, dtype: np.dtype):
     return run
 
 
-def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of the smaller set, row of the larger set, bits apart) of the candidates at the same anchor."""
+def near_sets(rows: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the smaller set, row of the larger set, bits apart) of the candidates at the same anchor, of any bits apart where ``most`` is None."""
     home = np.flatnonzero(rows["place"] < home_prefix(rows["size"].astype(np.int64)))
     home = home[np.argsort(rows["anchor"][home], kind="stable")]
     anchors = rows["anchor"][home]
@@ -473,13 +473,13 @@ def near_sets(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             keep &= rows["label"][h] != rows["label"][v]
         h, v = h[keep], v[keep]
         apart = (np.bitwise_count(rows["f1"][h] ^ rows["f1"][v]) + np.bitwise_count(rows["f2"][h] ^ rows["f2"][v])).astype(np.int64)
-        close = (apart <= COPY_BITS) | (rows["size"][h] < SMALL_SET)
+        close = np.full(len(apart), True) if most is None else (apart <= most) | (rows["size"][h] < SMALL_SET)
         if close.any():
             yield h[close], v[close], apart[close]
         at = stop
 
 
-def _copy_pairs(dtype: np.dtype):
+def _copy_pairs(dtype: np.dtype, most: int | None):
     """Candidate pairs of each cell: all where components are known, else for each node its nearest and its smallest one."""
 
     labelled = "label" in dtype.names
@@ -509,7 +509,7 @@ def _copy_pairs(dtype: np.dtype):
             at = distinct(a, b)
             return pa.record_batch([pa.array(np.maximum(a, b)[at]), pa.array(np.minimum(a, b)[at])], ["a", "b"])
 
-        for h, v, apart in near_sets(rows):
+        for h, v, apart in near_sets(rows, most):
             held.append((rows["node"][h], rows["node"][v], apart))
             new += len(h)
             if new > PAIRS_HELD:
@@ -537,12 +537,12 @@ def _copy_pairs(dtype: np.dtype):
     return run
 
 
-def _candidates(nodes: DataFrame, replicas: int) -> DataFrame:
+def _candidates(nodes: DataFrame, replicas: int, most: int | None) -> DataFrame:
     """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, tokens and, where known, label)."""
     dtype = LABELLED if "label" in nodes.columns else COPY
     cells = max(512, min(1 << 20, -(-replicas // COPY_CELL)))
     packs = nodes.mapInArrow(_copy_replicas(cells, dtype), "cell int, pack binary")
-    return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(dtype), "a long, b long").distinct()
+    return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(dtype, most), "a long, b long").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -604,7 +604,7 @@ def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, stored(texts.mapInArrow(_word_keys, "doc_id long, key long, token long, n long"), "copy-keys")
 
 
-def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+def copy_components(texts: DataFrame, keyed: DataFrame, most: int | None = COPY_BITS) -> DataFrame:
     """doc_id and component_id of the rows with a doc_id that are linked to a smaller one.
 
     Each text is first verified against its nearest and smallest candidates; then all candidates that this has not
@@ -619,12 +619,12 @@ def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     # The text of each class; a doc_id whose rows differ may bring sets that stand for no class, which links them as its rows are.
     nodes = stored(all_.join(classes.select("node").distinct(), "node", "left_semi"), "copy-nodes")
     replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
-    first = stored(_candidates(nodes, replicas), "copy-candidates")
+    first = stored(_candidates(nodes, replicas, most), "copy-candidates")
     met = _ends(first)
     links = _verified(first, met, texts)
     found = components(links)
     open_ = nodes.join(met.select(F.col("id").alias("node")), "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas).join(first, ["a", "b"], "left_anti"), "copy-candidates")
+    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas, most).join(first, ["a", "b"], "left_anti"), "copy-candidates")
     # Rows that share a doc_id join the classes they are in.
     own = keys.join(classes, "key").filter("doc_id <> node").select("doc_id", "node")
     repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -634,10 +634,13 @@ def copy_components(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     return keys.join(roots, "key").filter("component_id < doc_id").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies: a row with the smallest doc_id. Rows without doc_id stay."""
+def keep_one(docs: DataFrame, most: int | None = COPY_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near copies: a row with the smallest doc_id. Rows without doc_id stay.
+
+    Candidates whose fingerprints differ in more than ``most`` of 128 bits aren't verified; None verifies all of them.
+    """
     texts, keyed = _keys(docs)
-    gone = stored(copy_components(texts, keyed).select("doc_id").distinct(), "near-copies")
+    gone = stored(copy_components(texts, keyed, most).select("doc_id").distinct(), "near-copies")
     ids = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = stored(ids.filter("n > 1").select("doc_id"), "repeated-ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]

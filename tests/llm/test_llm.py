@@ -348,6 +348,7 @@ def test_keep_one_by_shingles(spark):
     assert 5001 in expect and 5003 not in expect and 100 < len(expect) < 450
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == expect
+    assert {r.doc_id for r in simhash.keep_one(df, most=None).collect()} == expect
 
 
 def test_components(spark):
