@@ -83,19 +83,19 @@ def _run_faults(runs: DataFrame, inputs: DataFrame, revisions: DataFrame, state_
     return runs.join(old, "run_id", "left").filter(fault.isNotNull()).select("run_id", F.lit(-1).cast("long").alias("number"), fault.alias("fault"))
 
 
-def _duplicates(proposals: DataFrame, quotes: DataFrame, claims: DataFrame, dependencies: DataFrame) -> DataFrame:
+def _duplicates(proposals: DataFrame, members: DataFrame, claims: DataFrame, dependencies: DataFrame) -> DataFrame:
     """run_id, number and the claim that a proposal equals: a current one, or that of an earlier proposal of the run (``earlier``, its number)."""
     key = ["run_id", "number"]
-    own = proposals.select(*key, "entity", T.digest(F.col("text")).alias("digest")).join(signed(quotes, key, "revision"), key)
+    own = proposals.select(*key, "entity", T.digest(F.col("text")).alias("digest")).join(signed(members, key, "revision"), key)
     held = claims.filter("is_current").select("claim", "entity", "digest").join(signed(dependencies, ["claim"], "revision"), "claim")
     like = own.join(held, ["entity", "digest", "set_size", "set_sum"])
-    known = same_sets(like, quotes, dependencies, key, ["claim"], "revision").groupBy(*key).agg(F.min("claim").alias("claim"))
+    known = same_sets(like, members, dependencies, key, ["claim"], "revision").groupBy(*key).agg(F.min("claim").alias("claim"))
     # Equal proposals of a run: each is compared with the first of its signature.
     first = F.min("number").over(Window.partitionBy("run_id", "entity", "digest", "set_size", "set_sum"))
     later = own.withColumn("earlier", first).filter(F.col("number") > F.col("earlier"))
-    earlier = quotes.select("run_id", F.col("number").alias("earlier"), "revision")
-    mine = later.select(*key, "earlier", "set_size").join(quotes.select(*key, "revision").distinct(), key)
-    shared = mine.join(earlier.distinct(), ["run_id", "earlier", "revision"]).groupBy(*key, "earlier", "set_size").agg(F.count("*").alias("n"))
+    earlier = members.select("run_id", F.col("number").alias("earlier"), "revision")
+    mine = later.select(*key, "earlier", "set_size").join(members, key)
+    shared = mine.join(earlier, ["run_id", "earlier", "revision"]).groupBy(*key, "earlier", "set_size").agg(F.count("*").alias("n"))
     again = shared.filter(F.col("n") == F.col("set_size")).select(*key, "earlier")
     return known.join(again, key, "full").select(*key, "claim", "earlier")
 
@@ -116,7 +116,8 @@ def apply(runs: DataFrame, inputs: DataFrame, proposals: DataFrame, quotes: Data
     fault = F.coalesce(_fault("revision not in request", F.col("asked").isNull()), _fault("quote", ~F.coalesce(exact, F.lit(False))))
     quoted = placed.select(*key, fault.alias("fault")).filter("fault IS NOT NULL")
 
-    doubles = _stored(_duplicates(proposals, quotes, claims, dependencies), "duplicates")
+    members = _stored(quotes.select(*key, "revision").distinct(), "quoted-revisions")
+    doubles = _stored(_duplicates(proposals, members, claims, dependencies), "duplicates")
     fresh = proposals.join(doubles, key, "left_anti")
     prior = claims.select(F.col("claim").alias("supersedes"), F.col("entity").alias("prior_entity"), "status", "is_current")
     first = F.min("number").over(Window.partitionBy("run_id", "supersedes"))

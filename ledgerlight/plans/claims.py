@@ -12,6 +12,7 @@ from ..operators import index, search
 from ..operators.apply import apply, may_follow
 from ..operators.detection import PRIVATE_IP
 from ..operators.redaction import redacted, residual
+from ..sources.store import new_path
 from ..sources.tables import evidence, revisions, statuses, table
 from .evidence import _PREFIXES, _TERMS, _TOKENS, QUESTION
 from .registry import query
@@ -151,25 +152,33 @@ _PROPOSED = (
 def _proposals(spark, sf_dir):
     """The tables of ``apply``, from documents, benchmark and labels."""
     docs, rule = _docs(spark, sf_dir), {k: F.expr(v.replace(" = ", " == ")) for k, v in _RULES.items()}
-    ev = _ev(spark, sf_dir)
-    held = ev.groupBy("doc_id").agg(F.min("claim_id").alias("claim_id"), F.min_by("claim_text", "claim_id").alias("claim_text"))
+    # What is asked of the texts is asked before they meet other tables, so that texts are shuffled only where quotes are compared with them.
+    path = new_path(spark, "evidence")
+    _ev(spark, sf_dir).select("claim_id", "claim_text", "doc_id", "source", "char_start").write.parquet(path)
+    ev = spark.read.parquet(path)
+    first = F.min_by(F.struct("claim_id", "claim_text", "char_start"), "claim_id")
+    held = ev.groupBy("doc_id").agg(first.alias("h"))
     lines = F.transform(F.split("text", "\n"), T.strip)
     own = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x) > 30), F.lit(0)), F.get(F.filter(lines, lambda x: F.length(x) > 0), F.lit(0)))
-    even = F.col("doc_id") % 2 == 0
-    base = docs.select("doc_id", "source", "text", own.alias("own")).filter("own IS NOT NULL").join(held, "doc_id", "left").join(statuses(docs, _labels(spark, sf_dir)), "doc_id")
-    rows = base.select("doc_id", "source", "text", "status", F.floor(F.col("doc_id") / DOCS_OF_RUN).alias("run"), F.when(even, F.coalesce("claim_text", "own")).otherwise(F.col("own")).alias("claim"), F.when(~even, F.col("claim_id")).alias("prior"))
-    place = (F.instr("text", F.col("claim")) - 1).alias("start")
+    now = T.digest(F.col("text"))
+    asked = docs.select("doc_id", "source", "text", own.alias("own")).filter("own IS NOT NULL")
+    asked = asked.select("doc_id", "source", "own", (F.instr("text", F.col("own")) - 1).alias("own_start"), now.alias("now"), T.digest(F.concat("text", F.lit("old"))).alias("old"))
+    even = (F.col("doc_id") % 2 == 0) & F.col("h").isNotNull()
+    rows = asked.join(held, "doc_id", "left").select(
+        "doc_id", "source", "now", "old", F.floor(F.col("doc_id") / DOCS_OF_RUN).alias("run"), F.when(even, F.col("h.claim_text")).otherwise(F.col("own")).alias("claim"),
+        F.when(even, F.col("h.char_start")).otherwise(F.col("own_start")).alias("start"), F.when(F.col("doc_id") % 2 == 1, F.col("h.claim_id")).alias("prior"),
+    )
     numbers = F.when(rule["twice"], F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).otherwise(F.array(F.col("doc_id") * 2))
     each = rows.withColumn("number", F.explode(numbers))
     key = lambda claim: claim * 100_000_000 + F.col("doc_id")
     stated = F.when(rule["long"], F.rpad(F.col("claim"), F.lit(4001), F.lit("x"))).otherwise(F.col("claim"))
     proposals = each.select(F.col("run").alias("run_id"), "number", F.col("source").alias("entity"), stated.alias("text"), key(F.col("prior")).alias("supersedes"), F.array().cast("array<long>").alias("contradicts"))
-    quotes = each.select(F.col("run").alias("run_id"), "number", F.when(rule["foreign"], F.col("doc_id") + DOCS_OF_RUN).otherwise(F.col("doc_id")).alias("revision"), place, (F.col("start") + F.length("claim")).alias("end"), F.when(rule["misquoted"], F.concat("claim", F.lit("x"))).otherwise(F.col("claim")).alias("quote"))
+    quotes = each.select(F.col("run").alias("run_id"), "number", F.when(rule["foreign"], F.col("doc_id") + DOCS_OF_RUN).otherwise(F.col("doc_id")).alias("revision"), "start", (F.col("start") + F.length("claim")).alias("end"), F.when(rule["misquoted"], F.concat("claim", F.lit("x"))).otherwise(F.col("claim")).alias("quote"))
     state = F.when(rule["old_state"], STATE - 1).otherwise(STATE)
     runs = rows.select("run").distinct().select(F.col("run").alias("run_id"), F.when(rule["closed"], "completed").otherwise("exported").alias("status"), state.alias("state_version"), F.lit(STATE).alias("result_version"))
-    now = T.digest(F.col("text"))
-    revisions_of = rows.select(F.col("doc_id").alias("revision"), now.alias("digest"), (F.col("status") != "retracted").alias("is_current"), "text")
-    inputs = rows.select(F.col("run").alias("run_id"), F.col("doc_id").alias("revision"), F.when(rule["moved"], T.digest(F.concat("text", F.lit("old")))).otherwise(now).alias("digest"))
+    current = statuses(docs, _labels(spark, sf_dir)).select(F.col("doc_id").alias("revision"), (F.col("status") != "retracted").alias("is_current"))
+    revisions_of = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("revision"), now.alias("digest"), "text").join(current, "revision")
+    inputs = rows.select(F.col("run").alias("run_id"), F.col("doc_id").alias("revision"), F.when(rule["moved"], F.col("old")).otherwise(F.col("now")).alias("digest"))
     known = ev.join(statuses(docs, _labels(spark, sf_dir)), "doc_id").withColumn("claim", key(F.col("claim_id")))
     claims = known.select("claim", F.col("source").alias("entity"), T.digest(F.col("claim_text")).alias("digest"), "status", F.lit(True).alias("is_current"))
     return runs, inputs, proposals, quotes, revisions_of, claims, known.select("claim", F.col("doc_id").alias("revision"))
