@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index, retrieve, tree
 from ..operators.search import BLEND, POOL, SUPPORT, query_terms
+from ..sources.store import new_path
 from ..sources.tables import evidence, statuses, table, transcripts
 from .evidence import _NEAR, _PREFIXES, _SUPPORT, _TERMS, _TOKENS, QUESTION, _supported
 from .registry import ORACLES, query
@@ -92,10 +93,18 @@ _CLAIMS = "c AS (SELECT claim_id * 100000000 + ev.doc_id AS key, claim_id, claim
 _CLAIM_WORDS = f"SELECT key, {_TOKENS.format('text')} || {_TOKENS.format('entity')} AS w FROM c"
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Written once to the shared folder, as a search asks for it several times."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _claims(spark, sf_dir) -> DataFrame:
     docs = _docs(spark, sf_dir)
     rows = evidence(docs, table(spark, sf_dir, "benchmark")).join(statuses(docs, table(spark, sf_dir, "labels")), "doc_id")
-    return rows.select((F.col("claim_id") * 100_000_000 + F.col("doc_id")).alias("key"), "claim_id", F.col("claim_text").alias("text"), F.col("source").alias("entity"), "status")
+    found = rows.select((F.col("claim_id") * 100_000_000 + F.col("doc_id")).alias("key"), "claim_id", F.col("claim_text").alias("text"), F.col("source").alias("entity"), "status")
+    return _kept(found, "claims")
 
 
 @query(f"{_CLAIMS}, {_bm25_sql(_CLAIM_WORDS, QUESTION_WORDS)} SELECT key, claim_id, entity, round(score, 6) AS score FROM bm JOIN c USING (key) WHERE status IN ('candidate', 'reviewed') ORDER BY bm.score DESC, key LIMIT 10", "ev st")
@@ -147,7 +156,7 @@ _RANKED = (
 
 def _quotes(spark, sf_dir, claims: DataFrame) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", T.text_of("text").alias("quote"))
-    near = _supported(spark, sf_dir).select("claim_id", "doc_id").join(docs, "doc_id")
+    near = _kept(_supported(spark, sf_dir).select("claim_id", "doc_id"), "near-claims").join(docs, "doc_id")
     return claims.select("key", "claim_id", F.col("text").alias("claim_text")).join(near, "claim_id").select("key", "claim_text", "quote")
 
 
