@@ -36,13 +36,13 @@ def _mark(name: str, key: Column, wants: Column, mark: int) -> Column:
 def validate(records: DataFrame) -> DataFrame:
     """fault and key of all that is wrong; ``records`` is read once.
 
-    An empty or missing list has nothing to check. Evidence is resolved in its own record's text. A reviewed claim needs a piece of evidence in any record, an end of a
+    An empty or missing list has nothing to check, nor has a missing revision bytes. Evidence is resolved in its own record's text. A reviewed claim needs a piece of evidence in any record, an end of a
     contradiction a claim in any record; both are told once for each claim or contradiction.
     """
     list_of = lambda c: F.coalesce(F.col(c), F.filter(F.col(c), lambda x: F.lit(False)))
     none = F.array().cast("array<struct<fault:string,key:string,wants:string,mark:int>>")
     if_ = lambda test, rows: F.when(F.coalesce(test, F.lit(False)), rows).otherwise(none)
-    own = F.when(F.col("stored").isNull(), F.array(_fault("missing_source_bytes", F.col("revision")))).when(T.digest(F.col("stored")) != F.col("digest"), F.array(_fault("source_digest_mismatch", F.col("revision")))).otherwise(none)
+    own = F.when(F.col("revision").isNull(), none).when(F.col("stored").isNull(), F.array(_fault("missing_source_bytes", F.col("revision")))).when(T.digest(F.col("stored")) != F.col("digest"), F.array(_fault("source_digest_mismatch", F.col("revision")))).otherwise(none)
 
     def of_evidence(e: Column) -> Column:
         inside = (e["start"] >= 0) & (e["end"] > e["start"]) & (e["end"] <= F.length("text"))
