@@ -24,7 +24,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of the five-word shingles) stays, the one with the smallest doc_id."""
+    """One document of each group of near copies (0.8 of the five-word shingles) stays, the one with the smallest doc_id.
+
+    Candidates meet at the anchors of SimHash fingerprints and are verified; an exact check finds what anchors can't.
+    """
     return simhash.keep_one(docs)
 
 

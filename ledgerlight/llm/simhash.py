@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +46,12 @@ SHIFTS = np.arange(64, dtype=np.uint64)
 
 @dataclass(frozen=True)
 class Covering:
-    """The fingerprint is cut into ``blocks``; every ``together`` of them make a word that anchors cover."""
+    """The fingerprint is cut into ``blocks``; every ``together`` of them make a word that anchors cover. ``both``: the second one too."""
 
     threshold: int
     blocks: int
     together: int = 1
+    both: bool = False
 
     @property
     def within(self) -> int:
@@ -153,14 +154,14 @@ REPLICA = np.dtype([("anchor", "<u8"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<
 HOME, VISITOR = 0, 1
 
 
-def _anchored(covering: Covering, f1: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index, anchor with its block's number in the top bits) for all homes or all visits."""
-    for number, parts in enumerate(covering.words()):
-        word, bits = np.zeros(len(f1), np.uint64), 0
+def _anchored(covering: Covering, f1: np.ndarray, kind: int, f2: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, anchor with its word's number in the top bits) for all homes or all visits."""
+    for number, (prints, parts) in enumerate(product((f1, f2) if covering.both else (f1,), covering.words())):
+        word, bits = np.zeros(len(prints), np.uint64), 0
         for first, size in parts:
-            word |= ((f1 >> np.uint64(first)) & np.uint64((1 << size) - 1)) << np.uint64(bits)
+            word |= ((prints >> np.uint64(first)) & np.uint64((1 << size) - 1)) << np.uint64(bits)
             bits += size
-        index, anchor = (np.arange(len(f1)), homes(word)) if kind == HOME else visits(word, bits, 1 + covering.within)
+        index, anchor = (np.arange(len(prints)), homes(word)) if kind == HOME else visits(word, bits, 1 + covering.within)
         yield index, anchor | np.uint64(number << 48)
 
 
@@ -177,7 +178,8 @@ def _loads(covering: Covering, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            for _, anchor in _anchored(covering, _columns(batch)[1], HOME):
+            _, f1, f2 = _columns(batch)
+            for _, anchor in _anchored(covering, f1, HOME, f2):
                 total += np.bincount(_cell(anchor, cells), minlength=cells)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "homes"])
@@ -193,7 +195,7 @@ def _replicas(covering: Covering, cells: int):
                 node, f1, f2 = _columns(batch)
                 for kind in (HOME, VISITOR):
                     out: list[tuple[int, int, bytes]] = []
-                    for index, anchor in _anchored(covering, f1, kind):
+                    for index, anchor in _anchored(covering, f1, kind, f2):
                         rows = np.empty(len(index), REPLICA)
                         rows["anchor"], rows["f1"], rows["f2"], rows["node"] = anchor, f1[index], f2[index], node[index]
                         cell = _cell(anchor, cells)
@@ -238,76 +240,73 @@ class Forest:
         return self.nodes[below], self.nodes[root[below]]
 
 
-def near(home: np.ndarray, visitor: np.ndarray, threshold: int, threshold_both: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes (of a home, of a visitor at the same anchor) whose fingerprints are near. ``home`` is sorted by anchor."""
+def near(home: np.ndarray, visitor: np.ndarray, threshold: int, threshold_both: int | None, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes (of a home, of a visitor at the same anchor) whose fingerprints are near, and bits apart. ``home`` is sorted by anchor."""
     lo, hi = np.searchsorted(home["anchor"], visitor["anchor"]), np.searchsorted(home["anchor"], visitor["anchor"], side="right")
     visitor, lo, sizes = visitor[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     ends = np.cumsum(sizes)
     at = 0
     while at < len(visitor):
         # At least one visitor at a time: it meets no more than the homes of one anchor.
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk)))
         n = sizes[at:stop]
         v = np.repeat(np.arange(at, stop), n)
         h = np.repeat(lo[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         apart = np.bitwise_count(home["f1"][h] ^ visitor["f1"][v]).astype(np.int16)
         close = np.flatnonzero((apart <= threshold) & (home["node"][h] != visitor["node"][v]))
+        apart = apart[close]
         if threshold_both is not None and len(close):
-            other = np.bitwise_count(home["f2"][h[close]] ^ visitor["f2"][v[close]])
-            close = close[apart[close] + other <= threshold_both]
+            apart = apart + np.bitwise_count(home["f2"][h[close]] ^ visitor["f2"][v[close]])
+            close, apart = close[apart <= threshold_both], apart[apart <= threshold_both]
         if len(close):
-            yield home["node"][h[close]], visitor["node"][v[close]]
+            yield home["node"][h[close]], visitor["node"][v[close]], apart
         at = stop
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(homes, visitors) of each key; rows come sorted by key and kind: the homes of a key, then its visitors."""
+    key, packs, home = None, [], None
+    for batch in batches:
+        visitors: list[bytes] = []
+        for now, kind, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if now != key:
+                if visitors:
+                    yield home, np.frombuffer(b"".join(visitors), REPLICA)
+                key, packs, home, visitors = now, [], None, []
+            if kind == HOME:
+                packs.append(pack.as_py())
+            elif packs or home is not None:
+                if home is None:
+                    home, packs = np.frombuffer(b"".join(packs), REPLICA), []
+                    home = home[np.argsort(home["anchor"], kind="stable")]
+                visitors.append(pack.as_py())
+        if visitors:
+            yield home, np.frombuffer(b"".join(visitors), REPLICA)
+
+
 def _compare(threshold: int, threshold_both: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by task key and kind: the homes of a key, then its visitors."""
-        key, packs, home, found = None, [], None, []
-
-        def leave() -> Iterator[pa.RecordBatch]:
-            if found:
-                forest = Forest(np.concatenate([x for ab in found for x in ab]))
-                for a, b in found:
-                    forest.join(a, b)
-                a, b = forest.links()
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-
-        def meet(visitors: list[bytes]) -> None:
-            for a, b in near(home, np.frombuffer(b"".join(visitors), REPLICA), threshold, threshold_both):
-                found.append((a, b))
-            if sum(len(a) for a, _ in found) > CHUNK:
-                forest = Forest(np.concatenate([x for ab in found for x in ab]))
-                for a, b in found:
-                    forest.join(a, b)
-                found[:] = [forest.links()]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        for batch in batches:
-            visitors: list[bytes] = []
-            for now, kind, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if now != key:
-                    if visitors:
-                        meet(visitors)
-                    key, packs, home, visitors = now, [], None, []
-                if kind == HOME:
-                    packs.append(pack.as_py())
-                elif packs or home is not None:
-                    if home is None:
-                        home, packs = np.frombuffer(b"".join(packs), REPLICA), []
-                        home = home[np.argsort(home["anchor"], kind="stable")]
-                    visitors.append(pack.as_py())
-            if visitors:
-                meet(visitors)
-        yield from leave()
+        def forest() -> Forest:
+            out = Forest(np.concatenate([x for ab in found for x in ab]))
+            for a, b in found:
+                out.join(a, b)
+            return out
+
+        for home, visitors in _meetings(batches):
+            found += [(a, b) for a, b, _ in near(home, visitors, threshold, threshold_both)]
+            if sum(len(a) for a, _ in found) > CHUNK:
+                found = [forest().links()]
+        if found:
+            yield pa.record_batch([pa.array(x) for x in forest().links()], ["a", "b"])
 
     return run
 
 
-def near_links(classes: DataFrame, covering: Covering | None = None, threshold_both: int | None = None, rows: int | None = None) -> DataFrame:
-    """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
-    rows = classes.count() if rows is None else rows
-    covering = covering or covering_for(rows)
-    cells = max(256, -(-rows * len(covering.words()) // CELL_ROWS))
+def _met(classes: DataFrame, covering: Covering, rows: int) -> DataFrame:
+    """The packs of each cell as ``_meetings`` reads them, the homes of a hot cell dealt to several tasks; ``classes`` has node, f1, f2."""
+    cells = max(256, -(-rows * len(covering.words()) * (1 + covering.both) // CELL_ROWS))
     nodes = classes.select("node", "f1", "f2")
     # A row for each cell; the cells grow with the rows, so this is a table like any other.
     loads = nodes.mapInArrow(_loads(covering, cells), "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
@@ -317,11 +316,20 @@ def near_links(classes: DataFrame, covering: Covering | None = None, threshold_b
     every = F.sequence(F.lit(0), F.col("tasks") - 1)
     dealt = packs.withColumn("task", F.explode(F.when(F.col("kind") == HOME, one).otherwise(every)))
     keyed = dealt.select((F.col("cell").cast("long") * (1 << 20) + F.col("task")).alias("key"), "kind", "pack")
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", "kind")
-    pairs = sorted_.mapInArrow(_compare(covering.threshold, threshold_both), "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "kind")
+
+
+def _upward(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def near_links(classes: DataFrame, covering: Covering | None = None, threshold_both: int | None = None, rows: int | None = None) -> DataFrame:
+    """Links (a > b) between nodes whose fingerprints are near; ``classes`` has node, f1, f2, all distinct."""
+    rows = classes.count() if rows is None else rows
+    covering = covering or covering_for(rows)
+    return _upward(_met(classes, covering, rows).mapInArrow(_compare(covering.threshold, threshold_both), "a long, b long"))
+
+
 def near_components(docs: DataFrame, words: int = 4, covering: Covering | None = None, threshold_both: int | None = None) -> DataFrame:
     """doc_id, f1 and component_id of every row; with ``threshold_both``, f2 must be near as well."""
     prints = stored(fingerprints(docs, words), "fingerprints")
@@ -346,22 +354,29 @@ def digests(docs: DataFrame) -> DataFrame:
 
 # Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, verified on the sets.
 #
-# Candidates come by prefix filtering, which loses none: with the shingles of every set in one order, two such sets share
-# one among the first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller set. Any order will do: by
-# hash, but shingles that a large share of all texts hold come last, so that no anchor gathers them. The fingerprints only
-# save the work of verifying pairs that are far apart.
+# Candidates come by the anchors of two SimHash fingerprints of each set: homes meet visitors, and of what a node meets its
+# nearest, its smallest and its smallest likely one are verified. What the groups so found leave open, an exact check closes, as no anchors see
+# every pair at 0.8: prefix filtering between different groups, which loses none. With the shingles of every set in one order,
+# two such sets share one among the first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller set. Any
+# order will do: by hash, but shingles that a large share of all texts hold come last, so that none gathers them.
 
 COPY_WORDS = 5
 #: Bits of 128 that candidates may differ in: at a similarity of 0.8 the mean is 19 and the standard deviation 4, so five of them more. Sets of
 #: fewer than ``SMALL_SET`` shingles are never told apart by bits.
 COPY_BITS, SMALL_SET = 40, 32
+#: Bits that copies at 0.8 differ in on average: what differs in no more is likely one.
+LIKELY_BITS = 19
 #: Replicas that a cell is meant to hold, and the share of texts from which a shingle is frequent: at most ``FREQUENT``
 #: times the mean size of a set are.
 COPY_CELL, FREQUENT = 50_000, 256
 #: Bits of the filter that keeps texts without candidates from being shuffled (1 MB; when full it only lets all pass).
 FILTER_BITS = 1 << 23
-COPY = np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), ("place", "<u4")])
-LABELLED = np.dtype([*COPY.descr, ("label", "<i8")])
+COPY = np.dtype([("anchor", "<u4"), ("size", "<u4"), ("f1", "<u8"), ("f2", "<u8"), ("node", "<i8"), ("place", "<u4"), ("label", "<i8")])
+
+
+def copy_covering(rows: int) -> Covering:
+    """Words of both fingerprints that tolerate a bit: small ones find most pairs at 0.8, larger ones keep comparisons few as rows grow."""
+    return Covering(4, 4, both=True) if rows < 1 << 19 else Covering(4, 3, both=True) if rows < 1 << 26 else Covering(4, 5, 2, both=True)
 
 
 def home_prefix(n: np.ndarray) -> np.ndarray:
@@ -420,8 +435,66 @@ def _prefixes(frequent: np.ndarray):
     return run
 
 
-def _copy_replicas(cells: int, dtype: np.dtype):
-    """The anchors of each text, packed by cell."""
+def _first(*by: np.ndarray) -> np.ndarray:
+    """Of the rows with an equal last key, the first by the others (as in lexsort)."""
+    order = np.lexsort(by)
+    return order[np.r_[True, np.diff(by[-1][order]) != 0]]
+
+
+def _copy_meetings(most: int | None):
+    """Of what meets at the anchors of a task, the nearest, the smallest and the smallest likely one of each node: a, b and bits apart."""
+
+    def some(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        less = apart > LIKELY_BITS
+        return np.unique(np.concatenate([_first(*by) for x, y in ((a, b), (b, a)) for by in ((y, apart, x), (y, x), (y, less, x))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        new = 0
+
+        def fold() -> None:
+            """The nearest and the smallest of those that are left are those of all."""
+            columns = tuple(np.concatenate(c) for c in zip(*held))
+            at = some(*columns)
+            held[:] = [tuple(c[at] for c in columns)]
+
+        def leave() -> pa.RecordBatch:
+            a, b, apart = held.pop()
+            return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
+
+        for home, visitors in _meetings(batches):
+            for found in near(home, visitors, 64, 128 if most is None else most, COMPARED):
+                held.append(found)
+                new += len(found[0])
+                if new > PAIRS_HELD:
+                    fold()
+                    new = 0
+                    if len(held[0][0]) > PAIRS_HELD:
+                        yield leave()
+        if held:
+            fold()
+            yield leave()
+
+    return run
+
+
+def copy_candidates(nodes: DataFrame, most: int | None = COPY_BITS) -> DataFrame:
+    """Distinct pairs (a > b) of ``nodes`` (node, f1, f2) that meet at an anchor, differ in ``most`` of 128 bits at most and are to be verified."""
+    # Equal fingerprints stand for one another at the anchors; each of their nodes is verified against the smallest.
+    prints = stored(nodes.groupBy("f1", "f2").agg(F.min("node").alias("node")), "copy-prints")
+    rows = prints.count()
+    met = _met(prints, copy_covering(rows), rows).mapInArrow(_copy_meetings(most), "a long, b long, apart int")
+    # A node meets others in many tasks: of all of them the same three are left, so that a group brings no more pairs than thrice its size.
+    ends = met.union(met.select("b", "a", "apart")).groupBy("a").agg(
+        F.min(F.struct("apart", "b"))["b"].alias("nearest"), F.min("b").alias("smallest"), F.min(F.when(F.col("apart") <= LIKELY_BITS, F.col("b"))).alias("likely")
+    )
+    met = ends.select("a", F.explode(F.array_distinct(F.array("nearest", "smallest", F.coalesce("likely", "smallest")))).alias("b"))
+    equal = nodes.join(prints.select("f1", "f2", F.col("node").alias("b")), ["f1", "f2"]).filter("node <> b").select(F.col("node").alias("a"), "b")
+    return _upward(met.union(equal)).distinct()
+
+
+def _copy_replicas(cells: int):
+    """The first shingles of each text, packed by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -434,12 +507,11 @@ def _copy_replicas(cells: int, dtype: np.dtype):
                     continue
                 # Hashes that come first are small ones: they are mixed before they choose a cell.
                 token = _second(np.frombuffer(b"".join(x.as_py() for x in batch.column(4)), "<u8"))
-                rows = np.empty(len(index), dtype)
+                rows = np.empty(len(index), COPY)
                 rows["anchor"], rows["size"], rows["node"] = token & np.uint64(0xFFFFFFFF), size[index], node[index]
                 rows["f1"], rows["f2"] = f1.view(np.uint64)[index], f2.view(np.uint64)[index]
                 rows["place"] = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                if "label" in dtype.names:
-                    rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
+                rows["label"] = batch.column(5).to_numpy(zero_copy_only=False)[index]
                 cell = (token >> np.uint64(33)).astype(np.int64) % cells
                 order = np.argsort(cell, kind="stable")
                 rows, cell = rows[order], cell[order]
@@ -450,8 +522,8 @@ def _copy_replicas(cells: int, dtype: np.dtype):
     return run
 
 
-def near_sets(rows: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of the smaller set, row of the larger set, bits apart) of the candidates at the same anchor, of any bits apart where ``most`` is None."""
+def near_sets(rows: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of the smaller set, row of the larger set) of the candidates with the same shingle and different labels, of any bits apart where ``most`` is None."""
     home = np.flatnonzero(rows["place"] < home_prefix(rows["size"].astype(np.int64)))
     home = home[np.argsort(rows["anchor"][home], kind="stable")]
     anchors = rows["anchor"][home]
@@ -469,53 +541,40 @@ def near_sets(rows: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray,
         keep = (small <= large) & (5 * small >= 4 * large) & (rows["node"][h] != rows["node"][v])
         # At the first shingle that both hold, what is left of either set must suffice for 8/9 of their mean size.
         keep &= 9 * np.minimum(small - rows["place"][h], large - rows["place"][v]) >= 4 * (small + large)
-        if "label" in rows.dtype.names:
-            keep &= rows["label"][h] != rows["label"][v]
+        keep &= rows["label"][h] != rows["label"][v]
         h, v = h[keep], v[keep]
         apart = (np.bitwise_count(rows["f1"][h] ^ rows["f1"][v]) + np.bitwise_count(rows["f2"][h] ^ rows["f2"][v])).astype(np.int64)
         close = np.full(len(apart), True) if most is None else (apart <= most) | (rows["size"][h] < SMALL_SET)
         if close.any():
-            yield h[close], v[close], apart[close]
+            yield h[close], v[close]
         at = stop
 
 
-def _copy_pairs(dtype: np.dtype, most: int | None):
-    """Candidate pairs of each cell: all where components are known, else for each node its nearest and its smallest one."""
-
-    labelled = "label" in dtype.names
-
-    def distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        more, less = np.maximum(a, b), np.minimum(a, b)
-        o = np.lexsort((less, more))
-        return o[np.r_[True, (np.diff(more[o]) != 0) | (np.diff(less[o]) != 0)]]
-
-    def some(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        first = lambda *by: (o := np.lexsort(by))[np.r_[True, np.diff(by[-1][o]) != 0]]
-        return np.unique(np.concatenate([first(b, apart, a), first(a, apart, b), first(a, b), first(b, a)]))
+def _copy_pairs(most: int | None):
+    """All candidate pairs of each cell that join different groups."""
 
     def pairs(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([unplaned(p, dtype) for p in packs])
-        held: list[tuple[np.ndarray, ...]] = []
+        rows = np.concatenate([unplaned(p, COPY) for p in packs])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         new = 0
 
         def fold() -> None:
-            """The nearest and the smallest of those that are left are those of all."""
-            columns = tuple(np.concatenate(c) for c in zip(*held))
-            at = distinct(*columns[:2]) if labelled else some(*columns)
-            held[:] = [tuple(c[at] for c in columns)]
+            a, b = (np.concatenate(c) for c in zip(*held))
+            more, less = np.maximum(a, b), np.minimum(a, b)
+            o = np.lexsort((less, more))
+            o = o[np.r_[True, (np.diff(more[o]) != 0) | (np.diff(less[o]) != 0)]]
+            held[:] = [(more[o], less[o])]
 
         def leave() -> pa.RecordBatch:
-            a, b, _ = held.pop()
-            at = distinct(a, b)
-            return pa.record_batch([pa.array(np.maximum(a, b)[at]), pa.array(np.minimum(a, b)[at])], ["a", "b"])
+            return pa.record_batch([pa.array(x) for x in held.pop()], ["a", "b"])
 
-        for h, v, apart in near_sets(rows, most):
-            held.append((rows["node"][h], rows["node"][v], apart))
+        for h, v in near_sets(rows, most):
+            held.append((rows["node"][h], rows["node"][v]))
             new += len(h)
             if new > PAIRS_HELD:
                 fold()
                 new = 0
-                if labelled and len(held[0][0]) > PAIRS_HELD:
+                if len(held[0][0]) > PAIRS_HELD:
                     yield leave()
         if held:
             fold()
@@ -538,11 +597,10 @@ def _copy_pairs(dtype: np.dtype, most: int | None):
 
 
 def _candidates(nodes: DataFrame, replicas: int, most: int | None) -> DataFrame:
-    """Distinct candidate pairs (a > b) among ``nodes`` (node, f1, f2, size, tokens and, where known, label)."""
-    dtype = LABELLED if "label" in nodes.columns else COPY
+    """Distinct candidate pairs (a > b) of different labels among ``nodes`` (node, f1, f2, size, tokens, label)."""
     cells = max(512, min(1 << 20, -(-replicas // COPY_CELL)))
-    packs = nodes.mapInArrow(_copy_replicas(cells, dtype), "cell int, pack binary")
-    return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(dtype, most), "a long, b long").distinct()
+    packs = nodes.mapInArrow(_copy_replicas(cells), "cell int, pack binary")
+    return packs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_copy_pairs(most), "a long, b long").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -604,11 +662,11 @@ def _keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, stored(texts.mapInArrow(_word_keys, "doc_id long, key long, token long, n long"), "copy-keys")
 
 
-def copy_components(texts: DataFrame, keyed: DataFrame, most: int | None = COPY_BITS) -> DataFrame:
+def copy_components(texts: DataFrame, keyed: DataFrame, most: int | None = COPY_BITS, whole: bool = True) -> DataFrame:
     """doc_id and component_id of the rows with a doc_id that are linked to a smaller one.
 
-    Each text is first verified against its nearest and smallest candidates; then all candidates that this has not
-    joined are verified too, so a large group of copies never meets as pairs and no link is lost.
+    Each text is first verified against three at most of those that it meets at the anchors; then all pairs
+    that this has not joined are checked exactly, so a large group of copies never meets as pairs and no link is lost.
     """
     keys = keyed.filter("doc_id IS NOT NULL").select("doc_id", "key")
     classes = stored(keys.groupBy("key").agg(F.min("doc_id").alias("node")), "copy-classes")
@@ -618,29 +676,30 @@ def copy_components(texts: DataFrame, keyed: DataFrame, most: int | None = COPY_
     all_ = texts.mapInArrow(_prefixes(frequent), "node long, f1 long, f2 long, size int, tokens binary")
     # The text of each class; a doc_id whose rows differ may bring sets that stand for no class, which links them as its rows are.
     nodes = stored(all_.join(classes.select("node").distinct(), "node", "left_semi"), "copy-nodes")
-    replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
-    first = stored(_candidates(nodes, replicas, most), "copy-candidates")
-    met = _ends(first)
-    links = _verified(first, met, texts)
-    found = components(links)
-    open_ = nodes.join(met.select(F.col("id").alias("node")), "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = stored(_candidates(open_.select("node", "f1", "f2", "size", "tokens", "label"), replicas, most).join(first, ["a", "b"], "left_anti"), "copy-candidates")
+    first = stored(copy_candidates(nodes.select("node", "f1", "f2"), most), "copy-candidates")
+    links = _verified(first, _ends(first), texts)
+    if whole:
+        groups = nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        replicas = nodes.agg(F.sum(F.floor(F.col("size") / 5) + 1)).first()[0] or 0
+        open_ = _candidates(groups.select("node", "f1", "f2", "size", "tokens", "label"), replicas, most)
+        rest = stored(open_.join(first, ["a", "b"], "left_anti"), "copy-rest")
+        links = links.union(_verified(rest, _ends(rest), texts))
     # Rows that share a doc_id join the classes they are in.
     own = keys.join(classes, "key").filter("doc_id <> node").select("doc_id", "node")
     repeated = keys.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     shared = own.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    whole = components(links.union(_verified(rest, _ends(rest), texts)).union(shared))
-    roots = classes.join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    roots = classes.join(components(links.union(shared)), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return keys.join(roots, "key").filter("component_id < doc_id").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, most: int | None = COPY_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, most: int | None = COPY_BITS, whole: bool = True) -> DataFrame:
     """``docs`` with one row of each group of near copies: a row with the smallest doc_id. Rows without doc_id stay.
 
     Candidates whose fingerprints differ in more than ``most`` of 128 bits aren't verified; None verifies all of them.
+    Without ``whole`` the exact check is left out, and only what the anchors find is linked (for measuring it).
     """
     texts, keyed = _keys(docs)
-    gone = stored(copy_components(texts, keyed, most).select("doc_id").distinct(), "near-copies")
+    gone = stored(copy_components(texts, keyed, most, whole).select("doc_id").distinct(), "near-copies")
     ids = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = stored(ids.filter("n > 1").select("doc_id"), "repeated-ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -351,6 +351,40 @@ def test_keep_one_by_shingles(spark):
     assert {r.doc_id for r in simhash.keep_one(df, most=None).collect()} == expect
 
 
+def test_anchors_find_near_copies(spark, monkeypatch):
+    """Near-dedup's links come from the anchors: without the exact check nearly all are found, none that isn't one; hot cells lose none."""
+    rng, rows, near = random.Random(12), [], []
+    for i in range(300):
+        base = sentence(rng, 150).split()
+        other = list(base)
+        for at in rng.sample(range(5, 140), 1 + i % 5):
+            other[at] = "x" + other[at]
+        a, b = ({tuple(w[k : k + 5]) for k in range(146)} for w in (base, other))
+        near.append(5 * len(a & b) >= 4 * len(a | b))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    gone = lambda **more: {i for i, _ in rows} - {r.doc_id for r in simhash.keep_one(df, **more).collect()}
+    expect, found = {2 * i + 1 for i, x in enumerate(near) if x}, gone(whole=False)
+    assert 150 < len(expect) < 290 and found <= expect and len(found) >= 0.95 * len(expect)
+    assert gone() == expect
+    for name in ("CELL_HOMES", "PAIRS_HELD", "COMPARED"):
+        monkeypatch.setattr(simhash, name, 3)
+    assert gone(whole=False) == found and gone() == expect
+
+
+def test_anchors_meet_few(spark):
+    """Candidates are near by bits, each node brings few, and equal fingerprints meet their smallest node."""
+    rng = random.Random(13)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    base = [rng.getrandbits(64), rng.getrandbits(64)]
+    rows = [(i, *(signed(f ^ (1 << rng.randrange(64)) if i % 2 else f) for f in base)) for i in range(200)]
+    rows += [(1000 + i, signed(rng.getrandbits(64)), signed(rng.getrandbits(64))) for i in range(200)]
+    pairs = {(r.a, r.b) for r in simhash.copy_candidates(spark.createDataFrame(rows, "node long, f1 long, f2 long")).collect()}
+    assert all(b < a < 200 for a, b in pairs) and {(2 * i, 0) for i in range(1, 100)} <= pairs and len(pairs) < 100 * 50
+    joined = {r.node: r.component for r in components.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert joined == {i: 0 for i in range(1, 200)}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = {(max(a, b), min(a, b)) for a, b in ((rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)) if a != b}
