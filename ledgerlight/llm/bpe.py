@@ -37,7 +37,7 @@ from .common import text_or_empty
 END = " "
 #: Bounds of what a worker keeps: words or chunks with their ids, and pairs; the bytes of texts that are looked up at once,
 #: and the unknown words of one text for the library.
-KEPT, KEPT_PAIRS, AT_ONCE, JOINED = 400_000, 1_000_000, 8 << 20, 200
+KEPT, KEPT_PAIRS, AT_ONCE, JOINED = 400_000, 1_000_000, 2 << 20, 200
 NEVER = 1 << 60
 #: Below this, characters have one spelling, fixed classes and a fixed lower case in every Unicode version.
 STABLE = "ɐ"
@@ -85,7 +85,7 @@ class BacktrackingBpe:
     """The encoder of one vocabulary file of the tokenizers library (word-splitting BPE)."""
 
     def __init__(self, path: str, by_library: bool = False):
-        """by_library: chunks that aren't kept go to the library's model, for callers that only need the ids."""
+        """by_library: chunks that aren't kept go to the library's model, for callers that only need the ids; of words with an end mark no merges are held."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores already
         self.by_library = by_library
         with open(path, encoding="utf-8") as f:
@@ -94,6 +94,21 @@ class BacktrackingBpe:
         suffix = model["end_of_word_suffix"] or ""
         own = lambda t: t[: -len(suffix)] + END if suffix and t.endswith(suffix) else t
         self.end = END if suffix else ""
+        self.letters = byte_characters()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = {x["content"]: x["id"] for x in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if added else None
+        split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        for unicode_class, in_range in STABLE_CLASSES.items():
+            split = split.replace(unicode_class, in_range)
+        self.words = re.compile(split).findall
+        #: Words, and the chunks between spaces.
+        self.words_kept, self.chunks_kept = Kept(), Kept()
+        self.last = {i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)}
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[list(self.last)] = True
+        if by_library and self.end:
+            return  # the library has the merges
         self.ids = {own(t): i for t, i in model["vocab"].items()}
         self.names = {i: t for t, i in self.ids.items()}
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
@@ -102,28 +117,15 @@ class BacktrackingBpe:
         self.parts = {t: (a, b) for a, b, t in merges}
         if len(self.parts) < len(merges) or any(self.ranks.get(self.parts.get(x), -1) >= r for r, ab in enumerate(self.ranks) for x in ab):
             raise ValueError("each merge must make a new token of earlier ones")
-        self.last = {i for t, i in self.ids.items() if self.end and t.endswith(END)}
         self.sizes = {i: len(t) for i, t in self.names.items()}
         self.trie = ahocorasick.Automaton()
         for token, i in self.ids.items():
             self.trie.add_word(token, i)
         self.trie.make_automaton()
-        self.letters = byte_characters()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {x["content"]: x["id"] for x in added}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if added else None
-        split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        for unicode_class, in_range in STABLE_CLASSES.items():
-            split = split.replace(unicode_class, in_range)
-        self.words = re.compile(split).findall
         self.pair_table: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
         self.whole: dict[int, bool] = {}
         self.edges: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
-        #: Words, and the chunks between spaces.
-        self.words_kept, self.chunks_kept = Kept(), Kept()
-        self.ends = np.zeros(max(self.names) + 1, bool)
-        self.ends[list(self.last)] = True
         # The offset table: the text of id i is blob[at[i] : at[i + 1]].
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         parts = [names.get(i, "").encode() for i in range(max(names) + 1)]

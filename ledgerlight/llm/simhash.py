@@ -36,11 +36,13 @@ from .components import components
 
 #: Homes that a cell is meant to hold, and those that one task compares at most; further ones go to further tasks.
 CELL_ROWS, CELL_HOMES = 40_000, 200_000
-#: Rows whose replicas are packed at once, and comparisons held at once.
-PACK_ROWS = 10_000
+#: Rows whose replicas are packed at once, the replicas of them, and comparisons held at once.
+PACK_ROWS, PACK_REPLICAS = 10_000, 460_000
 CHUNK = 1 << 21
 #: Comparisons of near-dedup's candidates held at once, pairs of them held before they are reduced, and pairs verified at once.
 COMPARED, PAIRS_HELD, VERIFIED = 1 << 18, 1 << 18, 1000
+#: Bytes of near-dedup's texts and packs that a worker gets at once, and replicas of shingles that it packs at once (44 bytes each, four copies).
+AT_ONCE, REPLICAS_AT_ONCE = 8 << 20, 1 << 17
 SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -64,6 +66,12 @@ class Covering:
         cuts = [64 * i // self.blocks for i in range(self.blocks + 1)]
         return [list(x) for x in combinations([(a, b - a) for a, b in zip(cuts, cuts[1:])], self.together)]
 
+    @property
+    def rows_at_once(self) -> int:
+        """Rows that have ``PACK_REPLICAS`` visits on average, ``PACK_ROWS`` at most."""
+        steps = [_steps(sum(size for _, size in parts), 1 + self.within) for parts in self.words()]
+        return max(1, min(PACK_ROWS, 16 * PACK_REPLICAS // (sum(len(x) for by in steps for x in by) * (1 + self.both))))
+
 
 def covering_for(rows: int) -> Covering:
     """Of words for links of four bits, those whose anchors keep the comparisons of a row few: 2^17, 2^21, 2^28 or 2^32 of them."""
@@ -189,9 +197,10 @@ def _loads(covering: Covering, cells: int):
 
 def _replicas(covering: Covering, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = covering.rows_at_once
         for whole in batches:
-            for start in range(0, len(whole), PACK_ROWS):
-                batch = whole.slice(start, PACK_ROWS)
+            for start in range(0, len(whole), at_once):
+                batch = whole.slice(start, at_once)
                 node, f1, f2 = _columns(batch)
                 for kind in (HOME, VISITOR):
                     out: list[tuple[int, int, bytes]] = []
@@ -493,13 +502,23 @@ def copy_candidates(nodes: DataFrame, most: int | None = COPY_BITS) -> DataFrame
     return _upward(met.union(equal)).distinct()
 
 
+def _stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of stretches of rows whose sizes add up to ``most`` at most, or of a row that is larger."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, stop
+        at = stop
+
+
 def _copy_replicas(cells: int):
     """The first shingles of each text, packed by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 5000):
-                batch = whole.slice(start, 5000)
+            for start, stop in _stretches(visit_prefix(whole.column(3).to_numpy().astype(np.int64)), REPLICAS_AT_ONCE):
+                batch = whole.slice(start, stop - start)
                 node, f1, f2, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
                 lengths = visit_prefix(size.astype(np.int64))
                 index = np.repeat(np.arange(len(node)), lengths)
@@ -650,9 +669,10 @@ def _verified(pairs: DataFrame, ends: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     sets = _sets_of(texts, ends)
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set"))
+    # The sets are looked up in a table of them: sorting would hold the set of ``a`` for each of its pairs, far more than their compressed size lets expect.
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")).hint("shuffle_hash")
     same = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
-    with batches_of(texts.sparkSession, VERIFIED):  # a pair brings both its sets
+    with batches_of(texts.sparkSession, rows=VERIFIED):  # a pair brings both its sets
         return stored(same, "copy-links")
 
 
@@ -698,8 +718,9 @@ def keep_one(docs: DataFrame, most: int | None = COPY_BITS, whole: bool = True)
     Candidates whose fingerprints differ in more than ``most`` of 128 bits aren't verified; None verifies all of them.
     Without ``whole`` the exact check is left out, and only what the anchors find is linked (for measuring it).
     """
-    texts, keyed = _keys(docs)
-    gone = stored(copy_components(texts, keyed, most, whole).select("doc_id").distinct(), "near-copies")
+    with batches_of(docs.sparkSession, size=AT_ONCE):
+        texts, keyed = _keys(docs)
+        gone = stored(copy_components(texts, keyed, most, whole).select("doc_id").distinct(), "near-copies")
     ids = keyed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = stored(ids.filter("n > 1").select("doc_id"), "repeated-ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]

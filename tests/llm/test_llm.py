@@ -172,6 +172,8 @@ def test_bpe_words():
             packed = e.encode(t)
             assert np.frombuffer(packed, "<u4").tolist() == ids
         assert own.decode(packed).decode() == lib.decode(ids, skip_special_tokens=False)
+    # Where the library has the merges, a worker doesn't hold them again.
+    assert not {"trie", "ranks", "parts", "names"} & vars(by_lib).keys()
 
 
 def test_bpe(odd):
@@ -372,6 +374,46 @@ def test_anchors_find_near_copies(spark, monkeypatch):
     assert gone(whole=False) == found and gone() == expect
 
 
+def test_near_dedup_in_small_batches(spark, monkeypatch):
+    """What a worker of near-dedup gets and gives at once is bounded by bytes, whatever the sizes of texts and packs."""
+    rng = np.random.default_rng(14)
+    n, size = 6000, 480
+    packs = [rng.integers(0, 1 << 40, simhash.visit_prefix(np.int64(size)), np.uint64).tobytes() for _ in range(n)]
+    column = lambda: pa.array(rng.integers(0, 1 << 62, n))
+    names = ["node", "f1", "f2", "size", "tokens", "label"]
+    batch = pa.record_batch([pa.array(range(n)), column(), column(), pa.array([size] * n, pa.int32()), pa.array(packs, pa.binary()), column()], names)
+    packed = list(simhash._copy_replicas(512)([batch]))
+    assert max(x.nbytes for x in packed) < 8 << 20
+    rows = np.concatenate([simhash.unplaned(p.as_py(), simhash.COPY) for x in packed for p in x.column(1)])
+    assert len(rows) == sum(map(len, packs)) // 8 and (np.bincount(rows["node"], minlength=n) == len(packs[0]) // 8).all()
+
+    texts = [(i, sentence(random.Random(i // 2), 150) + (" more" if i % 2 else "")) for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    expect = {r.doc_id for r in simhash.keep_one(df).collect()}
+
+    def bounded(of):
+        def checked(*args):
+            run = of(*args)
+
+            def each(batches):
+                for b in batches:
+                    assert len(b) == 1 or b.nbytes < most * 3 // 2, b.nbytes
+                    yield b
+
+            return lambda batches: run(each(batches))
+
+        return checked
+
+    most = 1 << 17
+    monkeypatch.setattr(simhash, "AT_ONCE", most)
+    for name in ("_copy_pairs", "_copy_meetings", "_prefixes"):
+        monkeypatch.setattr(simhash, name, bounded(getattr(simhash, name)))
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(x, None) for x in names]
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == expect == set(range(0, 600, 2))
+    assert [spark.conf.get(x, None) for x in names] == before
+
+
 def test_anchors_meet_few(spark):
     """Candidates are near by bits, each node brings few, and equal fingerprints meet their smallest node."""
     rng = random.Random(13)
