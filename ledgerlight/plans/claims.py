@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index, search
-from ..operators.apply import apply, may_follow
+from ..operators.apply import LONGEST, apply, may_follow
 from ..operators.detection import PRIVATE_IP
 from ..operators.redaction import redacted, residual
 from ..sources.store import new_path
@@ -171,7 +171,8 @@ def _proposals(spark, sf_dir):
     numbers = F.when(rule["twice"], F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).otherwise(F.array(F.col("doc_id") * 2))
     each = rows.withColumn("number", F.explode(numbers))
     key = lambda claim: claim * 100_000_000 + F.col("doc_id")
-    stated = F.when(rule["long"], F.rpad(F.col("claim"), F.lit(4001), F.lit("x"))).otherwise(F.col("claim"))
+    # Padding adds to a claim and never cuts it: one cut at a space would be short enough again once that is stripped.
+    stated = F.when(rule["long"], F.concat("claim", F.repeat(F.lit("x"), LONGEST + 1))).otherwise(F.col("claim"))
     proposals = each.select(F.col("run").alias("run_id"), "number", F.col("source").alias("entity"), stated.alias("text"), key(F.col("prior")).alias("supersedes"), F.array().cast("array<long>").alias("contradicts"))
     quotes = each.select(F.col("run").alias("run_id"), "number", F.when(rule["foreign"], F.col("doc_id") + DOCS_OF_RUN).otherwise(F.col("doc_id")).alias("revision"), "start", (F.col("start") + F.length("claim")).alias("end"), F.when(rule["misquoted"], F.concat("claim", F.lit("x"))).otherwise(F.col("claim")).alias("quote"))
     state = F.when(rule["old_state"], STATE - 1).otherwise(STATE)

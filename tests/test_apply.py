@@ -129,3 +129,26 @@ def test_apply_of_nothing(spark):
     frames = [spark.createDataFrame([], s) for s in (RUN, INPUT, PROPOSAL, QUOTE, REVISION, CLAIM, "claim long, revision long")]
     found = A.apply(*frames, 7)
     assert all(df.count() == 0 for df in (found.outcomes, found.created, found.reused, found.superseded, found.contradictions))
+
+
+def test_long_claims_stay_too_long(spark, tmp_path):
+    """Claims at the limit, and longer ones with a space just beyond it, against the query's SQL."""
+    import duckdb
+
+    from ledgerlight import catalog
+
+    cut = "ab " * 1333 + "a"  # 4000 characters; one more is a space
+    texts = {426: "short", 637: cut + " and on", 848: cut, 1059: cut + "b", 1060: cut + " and on", 1066: cut, 1069: cut + "  "}
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long"),
+        "benchmark": spark.createDataFrame([(1, "a claim that no document holds")], "item_id long, text string"),
+        "labels": spark.createDataFrame([(426, 1, 0)], "doc_id long, quality int, toxic int"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = catalog.QUERIES["applied_runs"](spark, str(tmp_path))
+    got = {r[0]: tuple(r) for r in df.collect()}
+    assert got == {r[0]: r for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES['applied_runs']})").fetchall()}
+    assert got[637 // 3][1:4] == ("refused", "text", 637 * 2) and got[1066 // 3][1] == "applied"
