@@ -50,6 +50,11 @@ def digest(x: Column) -> Column:
     return F.sha2(F.encode(x, "UTF-8"), 256)
 
 
+def base64(x: Column) -> Column:
+    """A text's bytes as one line; Spark breaks what it encodes after 76 characters."""
+    return F.replace(F.base64(F.encode(x, "UTF-8")), F.lit("\r\n"), F.lit(""))
+
+
 def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:
     """The name-based id of version 5, so that a repeated task makes the same id again."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))

@@ -194,7 +194,7 @@ def claim_counts(spark, sf_dir):
 def object_paths(spark, sf_dir):
     """The content address of an object, and its bytes as text for an export."""
     d = T.digest(F.col("url"))
-    return table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", F.base64(F.encode("url", "UTF-8")).alias("encoded"), d.alias("digest"), F.concat_ws("/", F.substring(d, 1, 2), d).alias("object_path"))
+    return table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", T.base64(F.col("url")).alias("encoded"), d.alias("digest"), F.concat_ws("/", F.substring(d, 1, 2), d).alias("object_path"))
 
 
 @query(

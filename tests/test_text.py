@@ -1,5 +1,6 @@
 """The text kernel against plain Python."""
 
+import base64
 import hashlib
 import math
 import re
@@ -31,3 +32,20 @@ def test_kernel(spark):
 def test_slugs(spark):
     rows = spark.createDataFrame([("A B",), ("A-B",), ("東京 Café",), ("!!",)], "t string").select(T.slugify(F.col("t")).alias("s")).collect()
     assert [r.s for r in rows] == ["a-b", "a-b", "東京-café", "entity"]
+
+
+def test_object_paths_of_long_urls(spark, tmp_path):
+    """Bytes as one line of base64, where a line of it is full and beyond, against the query's SQL and Python."""
+    import duckdb
+
+    from ledgerlight import catalog
+
+    urls = ["", *("u" * n for n in (56, 57, 58, 114, 115, 3000)), "http://東京.example.org/" + "é" * 40, "a\r\nb" * 30, None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = catalog.QUERIES["object_paths"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES['object_paths']})").fetchall())
+    assert [(r[0], r[1]) for r in got] == [(i, base64.b64encode(u.encode()).decode()) for i, u in enumerate(urls) if u is not None]
